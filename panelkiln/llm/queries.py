@@ -5,12 +5,14 @@ from __future__ import annotations
 from panelkiln.llm.bpe import op10_bpe_round_trip
 from panelkiln.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from panelkiln.llm.packing import op8_packing
+from panelkiln.llm.secrets import op1_secret_scan
 from panelkiln.llm.toxicity import op2_toxicity
 from panelkiln.llm.topk import OP5_SQL, op5_exact_top_k
 from panelkiln.llm.url_rules import op9_url_rules
 from panelkiln.llm.warc import op6_warc
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_exact_top_k": op5_exact_top_k,
