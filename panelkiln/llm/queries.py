@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from panelkiln.llm.bpe import op10_bpe_round_trip
 from panelkiln.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from panelkiln.llm.near_dups import op4_near_duplicates
 from panelkiln.llm.packing import op8_packing
 from panelkiln.llm.secrets import op1_secret_scan
 from panelkiln.llm.toxicity import op2_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_warc": op6_warc,
     "op8_packing": op8_packing,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ MOST_WORDS = 1 << 20
 MOST_HOT = 8192
 
 
-def exact_groups(base: DataFrame, id_col: str, key_col: str, bits_per_row: int = 32, most_words: int = MOST_WORDS) -> DataFrame:
+def exact_groups(base: DataFrame, id_col: str, key_col: str, bits_per_row: int = 32, most_words: int = MOST_WORDS, keep: Callable = F.max) -> DataFrame:
     """Groups rows with equal keys: two-pass Bloom filtering, native expressions only.
 
     Pass one counts how often each bit of a register-blocked Bloom filter is hit (counts are summed
@@ -54,7 +55,7 @@ def exact_groups(base: DataFrame, id_col: str, key_col: str, bits_per_row: int =
     a shuffle join in which no key has more rows than that.
 
     base: a table that is cheap to read again (give it checkpointed). Returns base's columns with keep_id
-    (largest id of the group; null only if all its ids are null) and group_size.
+    (the group's largest id, or what `keep` says; null only if all its ids are null) and group_size.
     """
     n = base.count()
     words = 1
@@ -76,7 +77,7 @@ def exact_groups(base: DataFrame, id_col: str, key_col: str, bits_per_row: int =
     marked = cut(marked.select(*base.columns, "_maybe"))
     maybe = marked.filter("_maybe").drop("_maybe")
     groups = cut(
-        maybe.groupBy(F.col(key_col).alias("_key")).agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
+        maybe.groupBy(F.col(key_col).alias("_key")).agg(keep(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
     )
     hot_from = max(32, -(-n // MOST_HOT))
     hot, cold = groups.filter(F.col("group_size") >= hot_from), groups.filter(F.col("group_size") < hot_from)

@@ -40,12 +40,12 @@ def _places(n: int) -> np.ndarray:
     return _PLACE
 
 
-def _hash(data: np.ndarray, parts: np.ndarray, prefixes: tuple[int, ...]) -> list[np.ndarray]:
+def _hash(data: np.ndarray, parts: np.ndarray, prefixes: tuple[int, ...], with_starts: bool = False) -> list[np.ndarray]:
     word = ~parts[data]
     edge = np.diff(word.astype("i1"), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
-        return [np.zeros(0, "u8") for _ in range(1 + len(prefixes))]
+        return [np.zeros(0, "u8") for _ in range(1 + len(prefixes) + with_starts)]
     sizes = ends - starts
     first = np.cumsum(sizes) - sizes
     at = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
@@ -56,7 +56,7 @@ def _hash(data: np.ndarray, parts: np.ndarray, prefixes: tuple[int, ...]) -> lis
         long = sizes > k
         h = np.add.reduceat(np.where(at < k, term, np.uint64(0)), first)[long]
         out.append(seal(h, np.full(len(h), (1 << 40) + k)))
-    return out
+    return [*out, starts] if with_starts else out
 
 
 def word_hashes(text: str, parts: np.ndarray = SPACES, prefixes: tuple[int, ...] = ()) -> list[np.ndarray]:
@@ -80,3 +80,30 @@ def word_hashes(text: str, parts: np.ndarray = SPACES, prefixes: tuple[int, ...]
         found.append(_hash(data[at:end], parts, prefixes))
         at = end
     return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+
+def word_hashes_of(texts: list[str], parts: np.ndarray = SPACES) -> list[np.ndarray]:
+    """word_hashes of each text, short texts together; U+000A must part words."""
+    out: list[np.ndarray] = []
+    some: list[bytes] = []
+    size = 0
+
+    def together() -> None:
+        nonlocal some, size
+        if some:
+            h, starts = _hash(np.frombuffer(b"\n".join(some), "u1"), parts, (), True)
+            ends = np.cumsum([len(x) + 1 for x in some])
+            out.extend(np.split(h, np.searchsorted(starts, ends[:-1])))
+        some, size = [], 0
+
+    for text in texts:
+        if len(text) > SEGMENT // 4:
+            together()
+            out += word_hashes(text, parts)
+            continue
+        some.append(text.encode("utf-8", "replace"))
+        size += len(some[-1])
+        if size >= SEGMENT // 2:
+            together()
+    together()
+    return out
