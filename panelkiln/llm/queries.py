@@ -8,6 +8,7 @@ from panelkiln.llm.near_dups import op4_near_duplicates
 from panelkiln.llm.packing import op8_packing
 from panelkiln.llm.secrets import op1_secret_scan
 from panelkiln.llm.toxicity import op2_toxicity
+from panelkiln.llm.tool_calls import op7_tool_calls
 from panelkiln.llm.topk import OP5_SQL, op5_exact_top_k
 from panelkiln.llm.url_rules import op9_url_rules
 from panelkiln.llm.warc import op6_warc
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_warc": op6_warc,
+    "op7_tool_calls": op7_tool_calls,
     "op8_packing": op8_packing,
     "op9_url_rules": op9_url_rules,
     "op10_bpe_round_trip": op10_bpe_round_trip,
