@@ -330,11 +330,11 @@ OPTIMIZERS = {
 }
 
 
-def windowed_weights(df: DataFrame, return_col: str = "ret", method: str = "min_vol", window_size: int = 60, every: int = 20, estimator: str = "covariance", signal_col: str | None = None, leverage: float = 1.0, expanding: bool = False) -> DataFrame:
+def windowed_weights(df: DataFrame, return_col: str = "ret", method: str = "min_vol", window_size: int = 60, every: int = 20, estimator: str = "covariance", signal_col: str | None = None, leverage: float = 1.0, expanding: bool = False, least_share: float = 0.5) -> DataFrame:
     """(date, ticker, weight) at every n-th date, from the window of dates before it.
 
     Dates are numbered over the panel's calendar; a date's rows are sent to the windows that hold it (an explode of at most
-    window_size / every + 1 copies), and each window is one kernel: windows run side by side. Names that lack a return in the window aren't weighted.
+    window_size / every + 1 copies), and each window is one kernel: windows run side by side. Names with fewer returns than `least_share` of the window's dates aren't weighted; a missing return counts as none.
     """
     days = df.select(DATE).distinct()
     days = days.withColumn("_n", F.row_number().over(Window.orderBy(DATE)) - 1)  # one row per date of the calendar
@@ -347,7 +347,8 @@ def windowed_weights(df: DataFrame, return_col: str = "ret", method: str = "min_
     sent = sent.filter((F.col("_w") * every >= window_size) & (F.col("_w") * every <= last) & (F.col("_n") < F.col("_w") * every) & ((F.col("_n") >= F.col("_w") * every - window_size) | F.lit(expanding)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="_n", columns=TICKER, values="_r").sort_index().dropna(axis=1)
+        wide = pdf.pivot(index="_n", columns=TICKER, values="_r").sort_index()
+        wide = wide.loc[:, wide.notna().mean() >= least_share].fillna(0.0)
         r = wide.to_numpy()
         wide = wide.loc[:, r.std(0) > 0] if len(r) else wide
         r = wide.to_numpy()

@@ -51,8 +51,9 @@ def information_coefficient(df: DataFrame, factor_col: str, return_col: str = "r
     """Each date's Spearman correlation of the factor of `lags` rows before with the return."""
     df = df.withColumn("_f", F.lag(factor_col, lags).over(by_ticker())).filter(F.col("_f").isNotNull() & F.col(return_col).isNotNull())
     df = windows.rank(windows.rank(df, "_f", "_a", axis="cs", min_periods=1), return_col, "_b", axis="cs", min_periods=1)
-    both = (F.stddev_pop("_a") > 0) & (F.stddev_pop("_b") > 0) & (F.count(F.lit(1)) >= least)
-    return df.groupBy(DATE).agg(F.when(both, F.corr("_a", "_b")).alias("ic"), F.count(F.lit(1)).alias("n"))
+    spread = F.stddev_pop("_a") * F.stddev_pop("_b")
+    some = df.groupBy(DATE).agg(F.covar_pop("_a", "_b").alias("_c"), spread.alias("_s"), F.count(F.lit(1)).alias("n"))
+    return some.select(DATE, F.when((F.col("_s") > 0) & (F.col("n") >= least), F.col("_c") / F.nullif("_s", F.lit(0.0))).alias("ic"), "n")
 
 
 def rolling_ic(df: DataFrame, factor_col: str, return_col: str = "ret", window_size: int = 30) -> DataFrame:
