@@ -65,13 +65,11 @@ def write_archives(pages: DataFrame, at: str, roll_bytes: int = 32 << 20, min_re
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("payload"), F.sha2(html, 256).alias("hash"))
     keys = cut(base.select("page_id", "hash", F.octet_length("payload").cast("long").alias("size")))
     grouped = exact_groups(keys.filter(F.col("size") >= min_revisit_bytes).select("page_id", "hash"), "page_id", "hash")
-    revisit = grouped.filter(~F.col("page_id").eqNullSafe(F.col("keep_id"))).select(F.col("page_id").alias("_id"), F.col("keep_id").alias("refers_to")).distinct()
-    records = base.join(revisit, F.col("page_id") == F.col("_id"), "left").select(
-        "page_id", "url", "hash", "refers_to", F.octet_length("payload").cast("long").alias("size"),
-        F.base64(F.unhex(F.sha1("payload"))).alias("sha1"), F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"),
-    )
+    # Where a record refers is known from a row of its own that travels to the same range just before it: payloads move once.
+    marks = grouped.filter((F.col("page_id") != F.col("keep_id"))).select("page_id", "hash", F.lit(0).alias("kind"), F.col("keep_id").alias("refers_to")).distinct()
+    rows = base.select("page_id", "hash", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), "url", "payload").unionByName(marks, allowMissingColumns=True)
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = records.repartitionByRange(n, "page_id", "hash").sortWithinPartitions("page_id", "hash")
+    ranged = rows.repartitionByRange(n, "page_id", "hash").sortWithinPartitions("page_id", "hash", "kind")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -80,6 +78,7 @@ def write_archives(pages: DataFrame, at: str, roll_bytes: int = 32 << 20, min_re
         store, root = fs.FileSystem.from_uri(at)
         part, out, k = f"{ctx.partitionId():06d}", [], 0
         sink = name = None
+        refers: tuple = ()
         n_rec = n_bytes = 0
         seen = hashlib.sha256()
 
@@ -92,10 +91,12 @@ def write_archives(pages: DataFrame, at: str, roll_bytes: int = 32 << 20, min_re
 
         for b in batches:
             for r in b.itertuples(index=False):
-                ref = None if pd.isna(r.refers_to) else int(r.refers_to)
                 page = None if pd.isna(r.page_id) else int(r.page_id)
-                digest = base64.b32encode(base64.b64decode(r.sha1)).decode()
-                data = _gzip(record(page, r.url, r.payload or b"", int(r.size), digest, ref), level)
+                if r.kind == 0:
+                    refers = (page, r.hash, int(r.refers_to))
+                    continue
+                ref = refers[2] if refers[:2] == (page, r.hash) else None
+                data = _gzip(record(page, r.url, r.payload, len(r.payload), base32_sha1(r.payload), ref), level)
                 if sink is not None and n_bytes + len(data) > roll_bytes:
                     close()
                 if sink is None:
