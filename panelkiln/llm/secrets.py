@@ -238,7 +238,9 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> D
         done = F.aggregate(spans, start, step)
         return let(done, lambda d: F.concat(F.array_join(d["out"], ""), F.substr(text, d["at"] + 1, F.length(text))))
 
-    new = F.when(F.size("_all") > 0, clean(F.col("_all"))).otherwise(text)
-    out = scanned(docs).withColumn("_all", all_spans(limits)).withColumn("_new", new)
-    n_chars = F.when(F.size("_all") > 0, F.length("_new").cast("long")).otherwise(F.col("n_chars"))
-    return out.select(*[F.col("_new").alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    # The documents' own columns go along as one, so that none can clash.
+    held = scanned(docs.select(F.struct(*docs.columns).alias("_doc"), "text")).withColumn("_all", all_spans(limits))
+    held = held.withColumn("_new", F.when(F.size("_all") > 0, clean(F.col("_all"))).otherwise(text))
+    own = lambda c: F.col("_doc").getField(c)
+    n_chars = lambda c: F.when(F.size("_all") > 0, F.length("_new").cast("long")).otherwise(own(c))
+    return held.select(*[(F.col("_new") if c == "text" else n_chars(c) if c == "n_chars" else own(c)).alias(c) for c in docs.columns])

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkiln.llm.shared import cut, small_batches, table
+from panelkiln.llm.shared import cut, free_name, small_batches, table
 from panelkiln.llm.words import NO_LETTERS, word_hashes
 
 #: Bounds of the training sample (expected number of documents of each kind) and of the features.
@@ -143,7 +143,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
             s = np.array([w[find(x)].sum() for x in b["text"]], "f8") + w[-1]
             out = b[["doc_id", "held_out"]].copy()
             out["doc_id"] = out["doc_id"].astype("Int64")
-            out["score"] = 1 / (1 + np.exp(-np.clip(s, -700, 700)))
+            out["score"] = np.where(np.isneginf(s), 0.0, 1 / (1 + np.exp(-np.clip(s, -700, 700))))
             out["predicted"] = (out["score"] >= 0.5).astype("int32")
             yield out
 
@@ -176,4 +176,5 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for b in texts:
             yield pd.Series([bool(w[find(x)].sum() + w[-1] >= 0) for x in b], dtype=bool)
 
-    return docs.withColumn("_toxic", toxic(F.coalesce("text", F.lit("")))).filter("not _toxic").drop("_toxic")
+    mark = free_name(docs, "_toxic")
+    return docs.withColumn(mark, toxic(F.coalesce("text", F.lit("")))).filter(~F.col(mark)).drop(mark)
