@@ -78,17 +78,17 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     if x > (a + 1) / (a + b + 2):
         return 1 - incomplete_beta(b, a, 1 - x)
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    # Lentz's method.
-    f, c, d = 1.0, 1.0, 0.0
-    for i in range(400):
-        m = i // 2
-        step = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / max(1 + step * d, 1e-300) if 1 + step * d > 0 else 1 / (1 + step * d or 1e-300)
-        c = 1 + step / c or 1e-300
-        f *= c * d
-        if abs(1 - c * d) < 1e-12:
+    # Lentz's method, two terms a round.
+    away = lambda v: v if abs(v) > 1e-300 else 1e-300
+    c, d = 1.0, 1 / away(1 - (a + b) * x / (a + 1))
+    f = d
+    for m in range(1, 500):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / away(1 + term * d), away(1 + term / c)
+            f *= c * d
+        if abs(c * d - 1) < 1e-14:
             break
-    return min(1.0, max(0.0, front * (f if i else 1.0)))
+    return min(1.0, max(0.0, front * f))
 
 
 def rolling_multi_ols(df: DataFrame, target_col: str, feature_cols: list[str], output_prefix: str = "beta", window_type: str = "rolling", window_size: int = 60) -> DataFrame:
