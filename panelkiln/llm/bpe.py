@@ -114,14 +114,19 @@ class ByteBpe:
     def _ids(self, piece: str) -> bytes:
         return np.array(self.piece(piece.encode("utf-8", "replace")), "<u4").tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
+    def _chunk(self, part: str) -> bytes:
+        """The ids of a part with the space before it."""
+        return self._all(" " + part)
+
+    def _all(self, text: str) -> bytes:
         pieces = self.pieces
-        return b"".join([pieces[x] for x in self.split(chunk)])
+        return b"".join([pieces[x] for x in self.split(text)])
 
     def encode(self, text: str) -> bytes:
         """All ids of a text as little-endian unsigned 32-bit integers."""
+        first, rest = chunks(text)
         cache = self.cache
-        return b"".join([cache[x] for x in chunks(text)])
+        return self._all(first) + b"".join([cache[x] for x in rest])
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that the ids stand for."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -18,32 +19,54 @@ from panelkiln.llm.pieces import chunks
 from panelkiln.llm.shared import cut, small_batches, table
 
 #: Chunks whose ids a worker remembers; it starts anew beyond.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Rows of one length are ranked in so many parts each, so that a hot length doesn't meet in one task.
 SALTS = 64
 
 
 class Ids:
-    """Ids of whole texts by the tokenizers library, each distinct chunk of text encoded once while remembered."""
+    """Ids of whole texts by the tokenizers library, each distinct part of text encoded once while remembered."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        #: Whether a token starts with a space, which the vocabulary writes as U+0120.
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encodes parts, each with the space before it. Those without spaces inside go together: as one text, parted again at the tokens that start with a space."""
+        plain = [x for x in parts if x and " " not in x and not x[0].isspace() and not x[-1].isspace()]
+        for i in range(0, len(plain), 4096):
+            some = plain[i : i + 4096]
+            ids = self._encode(" " + " ".join(some))
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(some):
+                plain = plain[:i]
+                break
+            data, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
+            self.known.update(zip(some, [data[a:b] for a, b in zip((4 * starts).tolist(), ends, strict=True)], strict=True))
+        for x in set(parts).difference(plain):
+            self.known[x] = self._encode(" " + x).tobytes()
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            parts = chunks(text)
+        for i in range(0, len(texts), 64):
+            split = [chunks(x) for x in texts[i : i + 64]]
             if len(self.known) > REMEMBERED:
                 self.known.clear()
             known = self.known
-            if new := list({x for x in parts if x not in known}):
-                for i in range(0, len(new), 4096):
-                    some = new[i : i + 4096]
-                    for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                        known[x] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join([known[x] for x in parts])
+            new: set[str] = set()
+            for _, rest in split:
+                new.update(filterfalse(known.__contains__, rest))
+            if new:
+                self._learn(list(new))
+            for first, rest in split:
+                yield (self._encode(first).tobytes() if first else b"") + b"".join(map(known.__getitem__, rest))
 
 
 @lru_cache(2)

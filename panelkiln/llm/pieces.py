@@ -8,25 +8,20 @@ import regex
 
 #: Texts made of these characters alone: there Python's re classes and the pattern's Unicode classes agree.
 _OUTSIDE = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞]")
-#: A space that touches other white space; without one, single spaces alone part the chunks.
-_TOUCHING = re.compile(r"[^\S ] | \s")
+#: Spaces that touch other white space, of that which _OUTSIDE lets pass; without one, single spaces alone part the chunks.
+_TOUCHING = ("  ", *(x for w in "\t\n\v\f\r\x85\xa0" for x in (f"{w} ", f" {w}")))
 #: The pattern never joins what stands before a lone space with what follows it.
 _LONE_SPACE = regex.compile(r"(?<=\S) (?=\S)")
 
 
-def chunks(text: str) -> list[str]:
-    """Parts of text that encode independently of each other; joined they are the text.
+def chunks(text: str) -> tuple[str, list[str]]:
+    """The parts of text that encode independently of each other: the first, and those that each follow a space, without it.
 
     The pattern's pieces hold a space only in front or in runs of white space, so a lone space
     between two other characters always starts a piece.
     """
-    if _TOUCHING.search(text) or _OUTSIDE.search(text):
-        first, *rest = _LONE_SPACE.split(text)
-    else:
-        first, *rest = text.split(" ")
-        if not first and rest:
-            return [" " + x for x in rest]
-    return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+    first, *rest = _LONE_SPACE.split(text) if _OUTSIDE.search(text) or any(x in text for x in _TOUCHING) else text.split(" ")
+    return first, rest
 
 
 class Splitter:
