@@ -9,22 +9,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkiln.llm.partenum import fine_signatures, least_distance, node_of, shingles_of, signatures, sketch
-from panelkiln.llm.shared import cut, exact_groups, small_batches, table
+from panelkiln.llm.partenum import fine_signatures, least_distance, node_of, shared_at_least, shingles_of, signatures, sketch
+from panelkiln.llm.shared import cut, exact_groups, give_back, small_batches, table
 
 #: Similarity in percent.
 PERCENT = 75
 #: A map task hands on its signatures by so many.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: About so many signatures to a bucket, and no more buckets than that.
-PER_BUCKET, MOST_BUCKETS = 1 << 20, 1 << 18
-#: Pairs of a group are written out up to so many nodes; larger ones get a star and another round.
-WHOLE_GROUP = 512
+PER_BUCKET, MOST_BUCKETS = 1 << 21, 1 << 18
+#: Pairs of different components of a group are written out up to so many; a group with more gets a star and another round.
+WHOLE_GROUP = 1 << 17
 #: 64-bit words of the filter that tells which documents' sets are needed.
 FILTER_WORDS = 1 << 18
 
 BLOBS = "bucket int, sigs binary, at binary, nodes binary, marks binary"
-PAIRS = "bucket int, pairs binary, again boolean"
+PAIRS = "bucket int, pairs binary, nodes binary, counts binary, again boolean"
 
 
 def sets_of(texts: pd.Series) -> Iterator[tuple[int, np.ndarray]]:
@@ -42,24 +42,25 @@ def _bucket_bits(n_signatures: int, least: int) -> int:
 
 
 def _deal(bits: int, sig: np.ndarray, node: np.ndarray, mark: dict | None) -> pd.DataFrame:
-    """Signatures and their nodes as a row of arrays for each bucket: 32 bits of each signature beyond those of the bucket."""
+    """Signatures and their nodes as a row of arrays for each bucket: 32 bits of each signature beyond those of the bucket, and how many each node has."""
     bucket = (sig >> np.uint64(64 - bits)).astype("i8")
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((node, bucket))
     bucket, sig, node = bucket[order], ((sig >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")[order], node[order]
     edges = np.flatnonzero(np.diff(bucket, prepend=-1))
     rows = []
     for a, b in zip(edges, [*edges[1:], len(bucket)], strict=True):
-        names, at = np.unique(node[a:b], return_inverse=True)
+        names, n = np.unique(node[a:b], return_counts=True)
         marks = np.array([mark[int(x)] for x in names], "<i8").tobytes() if mark is not None else b""
-        rows.append((int(bucket[a]), sig[a:b].tobytes(), at.astype("<u4").tobytes(), names.astype("<i8").tobytes(), marks))
+        rows.append((int(bucket[a]), sig[a:b].tobytes(), n.astype("<u4").tobytes(), names.astype("<i8").tobytes(), marks))
     return pd.DataFrame(rows, columns=["bucket", "sigs", "at", "nodes", "marks"])
 
 
-def _groups(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _groups(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct (signature, node) entries of a bucket whose signature has several nodes, with marks, and where each group starts."""
+    each = lambda names, n: np.repeat(np.frombuffer(names, "<i8"), np.frombuffer(n, "<u4"))
     sig = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["sigs"]])
-    node = np.concatenate([np.frombuffer(n, "<i8")[np.frombuffer(a, "<u4")] for n, a in zip(pdf["nodes"], pdf["at"], strict=True)])
-    marks = [np.frombuffer(m, "<i8")[np.frombuffer(a, "<u4")] for m, a in zip(pdf["marks"], pdf["at"], strict=True) if m]
+    node = np.concatenate([each(x, n) for x, n in zip(pdf["nodes"], pdf["at"], strict=True)])
+    marks = [each(m, n) for m, n in zip(pdf["marks"], pdf["at"], strict=True) if m]
     mark = np.concatenate(marks) if marks else node
     order = np.argsort(sig, kind="stable")
     same = np.diff(sig[order]) == 0
@@ -69,15 +70,30 @@ def _groups(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     sig, node, mark = sig[order], node[order], mark[order]
     new = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))[: len(sig)]
     sig, node, mark = sig[new], node[new], mark[new]
-    return node, mark, np.flatnonzero(np.append(True, sig[1:] != sig[:-1])[: len(sig)]), sig
+    # What was several entries of one node is alone by now.
+    alone = np.append(True, sig[1:] != sig[:-1]) & np.append(sig[1:] != sig[:-1], True) if len(sig) else np.zeros(0, bool)
+    sig, node, mark = sig[~alone], node[~alone], mark[~alone]
+    return node, mark, np.flatnonzero(np.append(True, sig[1:] != sig[:-1])[: len(sig)])
 
 
-def _pair_rows(pairs: list[np.ndarray], parts: int, again: bool) -> pd.DataFrame:
-    """Distinct pairs as arrays, dealt by a hash of the pair."""
+def _across(node: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All pairs of nodes of different components: nodes stand component by component, `size` of each."""
+    end = np.cumsum(size)
+    pairs = [np.stack([np.repeat(node[b - k : b], len(node) - b), np.tile(node[b:], k)], 1) for b, k in zip(end[:-1], size[:-1], strict=True)]
+    p = np.concatenate(pairs)
+    return np.sort(p, axis=1)
+
+
+def _pair_rows(pairs: list[np.ndarray], parts: int, shared: np.ndarray | None = None) -> pd.DataFrame:
+    """Distinct pairs as arrays, dealt by a hash of the pair; and how often each node is in `shared`, dealt by node."""
     p = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), "<i8")
     to = (p[:, 0] ^ (p[:, 1] >> 7)) % parts
-    rows = [(int(k), p[to == k].astype("<i8").tobytes(), again) for k in np.unique(to)]
-    return pd.DataFrame(rows or [(0, b"", True)] * again, columns=["bucket", "pairs", "again"])
+    rows = [(int(k), p[to == k].astype("<i8").tobytes(), None, None, False) for k in np.unique(to)]
+    if shared is not None and len(shared):
+        names, n = np.unique(shared, return_counts=True)
+        to = names % parts
+        rows += [(int(k), None, names[to == k].astype("<i8").tobytes(), n[to == k].astype("<u4").tobytes(), False) for k in np.unique(to)]
+    return pd.DataFrame(rows, columns=["bucket", "pairs", "nodes", "counts", "again"])
 
 
 def _star(node: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -105,8 +121,9 @@ def coarse_pairs(docs: DataFrame, bits: int, parts: int) -> DataFrame:
             order = np.lexsort((node, sig))
             sig, node = sig[order], node[order]
             first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-            local = _pair_rows([_star(node, first)], parts, False)
-            yield local.assign(bucket=-1 - local["bucket"], at=None, nodes=None, marks=None).rename(columns={"pairs": "sigs"})[["bucket", "sigs", "at", "nodes", "marks"]]
+            size = np.diff(np.append(first, len(sig)))
+            local = _pair_rows([_star(node, first)], parts, node[np.repeat(size > 1, size)])
+            yield pd.DataFrame({"bucket": -1 - local["bucket"], "sigs": local["pairs"], "at": local["counts"], "nodes": local["nodes"], "marks": None})
             yield _deal(bits, sig[first], node[first], None)
             sigs.clear()
             nodes.clear()
@@ -123,18 +140,21 @@ def coarse_pairs(docs: DataFrame, bits: int, parts: int) -> DataFrame:
                     if held >= FLUSH:
                         yield from flush()
         yield from flush()
+        give_back()
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["bucket"].iloc[0] < 0:  # pairs that map tasks found
-            return pd.DataFrame({"bucket": -1 - pdf["bucket"], "pairs": pdf["sigs"], "again": False})
-        node, _, first, _ = _groups(pdf)
-        return _pair_rows([_star(node, first)] if len(node) else [], parts, False)
+            return pd.DataFrame({"bucket": -1 - pdf["bucket"], "pairs": pdf["sigs"], "nodes": pdf["nodes"], "counts": pdf["at"], "again": False})
+        node, _, first = _groups(pdf)
+        rows = _pair_rows([_star(node, first)] if len(node) else [], parts, node)
+        give_back()
+        return rows
 
     return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(emit, BLOBS).groupBy("bucket").applyInPandas(reduce, PAIRS)
 
 
 def fine_pairs(sets: DataFrame, bits: int, parts: int, whole: int) -> DataFrame:
-    """Pairs of nodes of different components (mark) that share a fine signature. `again` says that a group was larger than `whole`: it got stars alone."""
+    """Pairs of nodes of different components (mark) that share a fine signature. A row with `again` has the nodes of groups with more than `whole` such pairs: they got stars alone."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sigs, nodes, marks, held = [], [], {}, 0
@@ -151,9 +171,8 @@ def fine_pairs(sets: DataFrame, bits: int, parts: int, whole: int) -> DataFrame:
             yield _deal(bits, np.concatenate(sigs), np.repeat(np.array(nodes, "i8"), [len(x) for x in sigs]), marks)
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, mark, first, _ = _groups(pdf)
-        out, again, done = [], False, set()
-        held = 0
+        node, mark, first = _groups(pdf)
+        out, again, done, held = [], [], set(), 0
         for a, b in zip(first, [*first[1:], len(node)], strict=True):
             n, m = node[a:b], mark[a:b]
             if (m == m[0]).all():
@@ -162,21 +181,30 @@ def fine_pairs(sets: DataFrame, bits: int, parts: int, whole: int) -> DataFrame:
             if key in done:  # the same nodes under another signature
                 continue
             done.add(key)
-            if len(n) > whole:
-                again = True
+            _, size = np.unique(m, return_counts=True)
+            if (len(n) ** 2 - (size**2).sum()) // 2 > whole:
+                again.append(n)
                 out.append(np.stack([np.full(len(n) - 1, n[0]), n[1:]], 1)[m[1:] != m[0]])
                 continue
-            i, j = np.triu_indices(len(n), 1)
-            apart = m[i] != m[j]
-            out.append(np.stack([n[i[apart]], n[j[apart]]], 1))
+            out.append(_across(n[np.argsort(m, kind="stable")], size))
             held += len(out[-1])
             if held > 1 << 21:
                 out, held = [np.unique(np.concatenate(out), axis=0)], 0
-        return _pair_rows(out, parts, again)
+        rows = _pair_rows(out, parts)
+        if again:
+            rows = pd.concat([rows, pd.DataFrame([(0, None, np.unique(np.concatenate(again)).tobytes(), None, True)], columns=rows.columns)])
+        give_back()
+        return rows
 
     return sets.mapInPandas(emit, BLOBS).groupBy("bucket").applyInPandas(reduce, PAIRS)
 
 
+def _named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for x in b["nodes"]:
+            yield pd.DataFrame({"node": np.frombuffer(x, "<i8")})
+
+
 def distinct_pairs(pairs: DataFrame) -> DataFrame:
     """(u, v) of each pair once."""
 
@@ -184,7 +212,24 @@ def distinct_pairs(pairs: DataFrame) -> DataFrame:
         p = np.unique(np.concatenate([np.frombuffer(x, "<i8") for x in pdf["pairs"]]).reshape(-1, 2), axis=0)
         return pd.DataFrame({"u": p[:, 0], "v": p[:, 1]})
 
-    return pairs.groupBy("bucket").applyInPandas(run, "u long, v long")
+    return pairs.filter("pairs is not null").select("bucket", "pairs").groupBy("bucket").applyInPandas(run, "u long, v long")
+
+
+def likely_nodes(pairs: DataFrame, base: DataFrame) -> DataFrame:
+    """(node, doc_id) of the nodes that share as many signatures as similar ones must, with the least document of each."""
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(np.concatenate([np.frombuffer(x, "<i8") for x in pdf["nodes"]]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([np.frombuffer(x, "<u4") for x in pdf["counts"]]))
+        return pd.DataFrame({"node": names, "shared": n.astype("i8")})
+
+    def enough(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.loc[np.array([n >= shared_at_least(int(k), PERCENT) for n, k in zip(b["shared"], b["n"], strict=True)], bool), ["node", "doc_id"]].astype({"doc_id": "Int64"})
+
+    shared = pairs.filter("nodes is not null").select("bucket", "nodes", "counts").groupBy("bucket").applyInPandas(count, "node long, shared long")
+    sized = base.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    return shared.join(sized, "node").mapInPandas(enough, "node long, doc_id long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -233,15 +278,14 @@ def components(links: DataFrame) -> DataFrame:
     return cut(star.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
 
 
-def needed_sets(text: DataFrame, base: DataFrame, nodes: DataFrame) -> DataFrame:
+def needed_sets(text: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, size, sketch and features of each of `nodes`, from the text of the least document that has it; texts don't move.
 
     A Bloom filter of those documents' ids, of FILTER_WORDS words whatever their number, goes to all tasks; what else it lets pass falls in
     the exact join on nodes.
     """
     word, bit = f"cast(pmod(xxhash64(doc_id), {FILTER_WORDS}) as int)", "cast(pmod(xxhash64(doc_id, 5), 64) as int)"
-    first = base.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi")
-    words = first.groupBy(F.expr(word).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("b"))
+    words = nodes.groupBy(F.expr(word).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("b"))
     bits = np.zeros(FILTER_WORDS, "u8")
     for w, b in words.collect():
         bits[w] = np.uint64(b % (1 << 64))
@@ -254,7 +298,7 @@ def needed_sets(text: DataFrame, base: DataFrame, nodes: DataFrame) -> DataFrame
             yield pd.DataFrame(rows, columns=["node", "size", "sketch", "features"])
 
     made = text.select("text", F.expr(word).alias("w"), F.expr(bit).alias("bit")).mapInPandas(run, "node long, size long, sketch binary, features binary")
-    return cut(made.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    return cut(made.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
 
 def near_duplicates(docs: DataFrame, whole_group: int = WHOLE_GROUP) -> DataFrame:
@@ -266,8 +310,8 @@ def near_duplicates(docs: DataFrame, whole_group: int = WHOLE_GROUP) -> DataFram
 
     Equal sets are one node (named by a 64-bit hash of the set), so copies cost a row each. Round one: nodes that share a PartEnum signature make stars, and stars'
     pairs are verified, which already joins large groups of near copies. Round two, for the nodes met there alone: finer signatures (subsets of
-    partitions), and all pairs of nodes that share one and aren't connected yet are verified. A group larger than `whole_group` gets a star and
-    another round, with what is connected by then left out, until none is left or stars no longer connect anything; then it is written
+    partitions), and all pairs of nodes that share one and aren't connected yet are verified. A group with more than `whole_group` such pairs gets a star and
+    another round, for its nodes alone and with what is connected by then left out, until none is left or stars no longer connect anything; then it is written
     out in full. So no link between different components is lost, and pairs within a component aren't enumerated. Repeated doc_ids are rows each; null
     doc_ids never name a component that has others.
     """
@@ -284,26 +328,32 @@ def near_duplicates(docs: DataFrame, whole_group: int = WHOLE_GROUP) -> DataFram
     total = base.agg(F.sum("n_shingles")).first()[0] or 0
     linked = None
     if total:
-        pairs = cut(distinct_pairs(coarse_pairs(text, _bucket_bits(total * 2 // 3, 2 * parts), parts)))
-        nodes = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+        coarse = cut(coarse_pairs(text, _bucket_bits(total * 3 // 4, parts // 2), parts))
+        nodes = cut(likely_nodes(coarse, base))
         if nodes.count():
-            sets = needed_sets(text, base, nodes)
+            names = nodes.select("node")
+            pairs = distinct_pairs(coarse)
+            for side in "uv":
+                pairs = pairs.join(names.withColumnRenamed("node", side), side, "left_semi")
+            pairs = cut(pairs)
+            sets = needed_sets(text, nodes)
             links = cut(verified(pairs, sets))
             root = components(links)
-            size = sets.agg(F.sum("size")).first()[0] or 0
-            whole = whole_group
+            whole, asked = whole_group, sets
             while True:
-                marked = sets.join(root, "node", "left").select("node", "features", F.coalesce("root", "node").alias("mark"))
-                found = cut(fine_pairs(marked, _bucket_bits(size * 3, 2 * parts), parts, whole))
-                again = bool(found.filter("again").limit(1).count())
-                more = cut(verified(distinct_pairs(found.filter(F.octet_length("pairs") > 0)), sets))
+                size = asked.agg(F.sum("size")).first()[0] or 0
+                marked = asked.join(root, "node", "left").select("node", "features", F.coalesce("root", "node").alias("mark"))
+                found = cut(fine_pairs(marked, _bucket_bits(size * 3, parts // 2), parts, whole))
+                more = cut(verified(distinct_pairs(found), asked))
                 n = more.count()
                 if n:
                     root = components(root.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
-                if not again:
+                left = found.filter("again").select("nodes")
+                if not left.limit(1).count():
                     break
+                asked = cut(asked.join(left.mapInPandas(_named, "node long").distinct(), "node", "left_semi"))
                 if not n:
-                    whole = 1 << 30
+                    whole = 1 << 40
             linked = root
     named = exact_groups(base.filter("node is not null"), "doc_id", "node", keep=F.min)
     bare = base.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

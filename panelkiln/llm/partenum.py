@@ -73,20 +73,31 @@ def _projections(s: np.ndarray, family: int, n: int, salt: int) -> tuple[np.ndar
     return mix(total ^ mix(np.arange(n, dtype="u8") + seed)), np.bincount(part, minlength=n)
 
 
+def spare(k: int) -> int:
+    """How many more than one signature similar sets of a family have in common."""
+    return k // 8
+
+
 def signatures(s: np.ndarray, percent: int = 75) -> np.ndarray:
-    """One signature per partition: two similar sets, neither empty, have one in common.
+    """One signature per partition: two similar sets, neither empty, have at least shared_at_least() in common.
 
-    Of n partitions of a family at least n - k agree between similar sets, so among the k + 1 first ones in any order of signatures that both follow one
-    agrees. The order takes those with most features first, as chance shares them least.
+    Of n partitions of a family at least n - k agree between similar sets, so among the k + 1 + t first ones in any order of signatures that both follow t + 1
+    agree. The order takes those with most features first, as chance shares them least.
     """
     out, own = [], band_of(len(s))
     for family in range(max(0, own - 1), own + 1):
         k = plan(family, percent)
         sig, count = _projections(s, family, k + 1 + k // 2, 13)
-        out.append(sig[np.lexsort((sig, -count))[: k + 1]])
+        out.append(sig[np.lexsort((sig, -count))[: k + 1 + spare(k)]])
     return np.concatenate(out)
 
 
+def shared_at_least(size: int, percent: int = 75) -> int:
+    """Signatures that a set of this size has in common with any similar one."""
+    own = band_of(size)
+    return 1 + min(spare(plan(f, percent)) for f in range(max(0, own - 1), own + 1))
+
+
 #: Second-level partitions of each first-level one, and how many of them may differ.
 INNER, MAY_DIFFER = 5, 2
 _SUBSETS = np.array(list(combinations(range(INNER), INNER - MAY_DIFFER)))
