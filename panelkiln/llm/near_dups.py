@@ -153,25 +153,53 @@ def coarse_pairs(docs: DataFrame, bits: int, parts: int) -> DataFrame:
     return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(emit, BLOBS).groupBy("bucket").applyInPandas(reduce, PAIRS)
 
 
+def _possible(pairs: np.ndarray, size: dict[int, int], sketches: dict[int, bytes]) -> np.ndarray:
+    """Those pairs that sizes and sketches don't rule out; the sketches of a group fold to its shortest."""
+    names, at = np.unique(pairs, return_inverse=True)
+    at = at.reshape(pairs.shape)
+    n = np.array([size[int(x)] for x in names])
+    a, b = n[at[:, 0]], n[at[:, 1]]
+    ok = np.minimum(a, b) * 100 >= np.maximum(a, b) * PERCENT
+    least = min(len(sketches[int(x)]) for x in names)
+    bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(sketches[int(x)], "u1").reshape(-1, least), 0) for x in names])
+    bits = bits.view("u8") if least % 8 == 0 else bits
+    for i in range(0, len(pairs), 1 << 15):
+        some = slice(i, i + (1 << 15))
+        apart = np.bitwise_count(bits[at[some, 0]] ^ bits[at[some, 1]]).sum(1, dtype="i8")
+        ok[some] &= apart * (100 + PERCENT) <= (100 - PERCENT) * (a[some] + b[some])
+    return pairs[ok]
+
+
 def fine_pairs(sets: DataFrame, bits: int, parts: int, whole: int) -> DataFrame:
     """Pairs of nodes of different components (mark) that share a fine signature. A row with `again` has the nodes of groups with more than `whole` such pairs: they got stars alone."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sigs, nodes, marks, held = [], [], {}, 0
+        sigs, nodes, marks, about, held = [], [], {}, {}, 0
+
+        def flush() -> pd.DataFrame:
+            out = _deal(bits, np.concatenate(sigs), np.repeat(np.array(nodes, "i8"), [len(x) for x in sigs]), marks)
+            names = [np.frombuffer(x, "<i8").tolist() for x in out["nodes"]]
+            return out.assign(sizes=[np.array([about[x][0] for x in row], "<i8").tobytes() for row in names], sketches=[[about[x][1] for x in row] for row in names])
+
         for b in batches:
             for r in b.itertuples(index=False):
                 nodes.append(r.node)
-                marks[r.node] = r.mark
+                marks[r.node], about[r.node] = r.mark, (r.size, r.sketch)
                 sigs.append(np.unique(fine_signatures(np.frombuffer(r.features, "<u8"), PERCENT)))
                 held += len(sigs[-1])
                 if held >= FLUSH:
-                    yield _deal(bits, np.concatenate(sigs), np.repeat(np.array(nodes, "i8"), [len(x) for x in sigs]), marks)
-                    sigs, nodes, marks, held = [], [], {}, 0
+                    yield flush()
+                    sigs, nodes, marks, about, held = [], [], {}, {}, 0
         if sigs:
-            yield _deal(bits, np.concatenate(sigs), np.repeat(np.array(nodes, "i8"), [len(x) for x in sigs]), marks)
+            yield flush()
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
         node, mark, first = _groups(pdf)
+        size_of, sketch_of = {}, {}
+        for names, sizes, some in zip(pdf["nodes"], pdf["sizes"], pdf["sketches"], strict=True):
+            names = np.frombuffer(names, "<i8").tolist()
+            size_of.update(zip(names, np.frombuffer(sizes, "<i8").tolist(), strict=True))
+            sketch_of.update(zip(names, some, strict=True))
         out, again, done, held = [], [], set(), 0
         for a, b in zip(first, [*first[1:], len(node)], strict=True):
             n, m = node[a:b], mark[a:b]
@@ -186,7 +214,7 @@ def fine_pairs(sets: DataFrame, bits: int, parts: int, whole: int) -> DataFrame:
                 again.append(n)
                 out.append(np.stack([np.full(len(n) - 1, n[0]), n[1:]], 1)[m[1:] != m[0]])
                 continue
-            out.append(_across(n[np.argsort(m, kind="stable")], size))
+            out.append(_possible(_across(n[np.argsort(m, kind="stable")], size), size_of, sketch_of))
             held += len(out[-1])
             if held > 1 << 21:
                 out, held = [np.unique(np.concatenate(out), axis=0)], 0
@@ -196,7 +224,7 @@ def fine_pairs(sets: DataFrame, bits: int, parts: int, whole: int) -> DataFrame:
         give_back()
         return rows
 
-    return sets.mapInPandas(emit, BLOBS).groupBy("bucket").applyInPandas(reduce, PAIRS)
+    return sets.mapInPandas(emit, BLOBS + ", sizes binary, sketches array<binary>").groupBy("bucket").applyInPandas(reduce, PAIRS)
 
 
 def _named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -342,7 +370,7 @@ def near_duplicates(docs: DataFrame, whole_group: int = WHOLE_GROUP) -> DataFram
             whole, asked = whole_group, sets
             while True:
                 size = asked.agg(F.sum("size")).first()[0] or 0
-                marked = asked.join(root, "node", "left").select("node", "features", F.coalesce("root", "node").alias("mark"))
+                marked = asked.join(root, "node", "left").select("node", "size", "sketch", "features", F.coalesce("root", "node").alias("mark"))
                 found = cut(fine_pairs(marked, _bucket_bits(size * 3, parts // 2), parts, whole))
                 more = cut(verified(distinct_pairs(found), asked))
                 n = more.count()
