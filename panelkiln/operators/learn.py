@@ -54,21 +54,25 @@ def pca(df: DataFrame, value_col: str = "ret", n_components: int = 2) -> DataFra
 
 
 def windowed_pca(df: DataFrame, value_col: str = "ret", window_size: int = 120, every: int = 1, n_components: int = 2, expanding: bool = False, aligned: bool = True) -> DataFrame:
-    """date, component, score, explained at every n-th complete date: the last row's scores of its window, components matched to the window before where `aligned`.
+    """date, component, score, explained at each complete date from the first full window on: the last row's scores of its window, components matched to the window before where `aligned`.
 
-    Matching makes windows depend on each other, so one kernel walks over them.
+    Windows are fitted at every n-th date; the dates between are scored with the loadings, mean and deviation of the last one fitted. Matching makes
+    windows depend on each other, so one kernel walks over them.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         w = _wide(pdf, value_col).dropna()
         x, before, rows = w.to_numpy(float), None, []
         for i in range(window_size - 1, len(x), every):
-            s, v, e = fit_pca(x[0 if expanding else i - window_size + 1 : i + 1], n_components)
+            past = x[0 if expanding else i - window_size + 1 : i + 1]
+            s, v, e = fit_pca(past, n_components)
             if aligned and before is not None:
                 order, sign = align(v, before)
                 s, v, e = s[:, order] * sign, v[:, order] * sign, e[order]
             before = v
-            rows += [(w.index[i], k + 1, s[-1, k], e[k]) for k in range(v.shape[1])]
+            sd = past.std(0)
+            between = (x[i + 1 : i + every] - past.mean(0)) / np.where(sd > 0, sd, 1) @ v
+            rows += [(w.index[i + j], k + 1, y[k], e[k]) for j, y in enumerate([s[-1], *between]) for k in range(v.shape[1])]
         return pd.DataFrame(rows, columns=["date", "component", "score", "explained"])
 
     return df.select(DATE, TICKER, value_col).groupBy(F.lit(1).alias("_k")).applyInPandas(lambda pdf: run(pdf), "date date, component long, score double, explained double")

@@ -96,6 +96,10 @@ def portfolio_returns(df: DataFrame, weight_col: str = "weight", return_col: str
 
 def _simplex(v: np.ndarray, budget: float = 1.0, low: float = 0.0, high: float = 1.0) -> np.ndarray:
     """The nearest weights in the box that sum to the budget."""
+    if low == 0 and 0 < budget <= high:  # the upper bound can't hold, so sorting finds the shift at once
+        u = np.sort(v)[::-1]
+        over = (np.cumsum(u) - budget) / np.arange(1, len(u) + 1)
+        return np.maximum(v - over[np.flatnonzero(u > over)[-1]], 0.0)
     a, b = (v - high).min() - 1, (v - low).max() + 1
     for _ in range(100):
         t = (a + b) / 2
@@ -331,37 +335,47 @@ OPTIMIZERS = {
 
 
 def windowed_weights(df: DataFrame, return_col: str = "ret", method: str = "min_vol", window_size: int = 60, every: int = 20, estimator: str = "covariance", signal_col: str | None = None, leverage: float = 1.0, expanding: bool = False, least_share: float = 0.5) -> DataFrame:
-    """(date, ticker, weight) at every n-th date, from the window of dates before it.
+    """(date, ticker, weight) at the date of the first full window and every n-th date after it, from the window of dates that ends there.
 
-    Dates are numbered over the panel's calendar; a date's rows are sent to the windows that hold it (an explode of at most
-    window_size / every + 1 copies), and each window is one kernel: windows run side by side. Names with fewer returns than `least_share` of the window's dates aren't weighted; a missing return counts as none.
+    Dates are numbered over the panel's calendar and cut in blocks of window_size; a date's rows are sent to the blocks whose windows hold it (two copies at
+    most, unless expanding), and a block's windows are one kernel: blocks run side by side. Names with fewer returns than `least_share` of the window's dates
+    aren't weighted; a missing return counts as none.
     """
-    days = df.select(DATE).distinct()
+    days = df.select(DATE).filter(F.col(DATE).isNotNull()).distinct()
     days = days.withColumn("_n", F.row_number().over(Window.orderBy(DATE)) - 1)  # one row per date of the calendar
     signal = F.col(signal_col).cast("double") if signal_col else F.lit(None).cast("double")
     rows = df.join(days, DATE).select(DATE, TICKER, F.col(return_col).cast("double").alias("_r"), signal.alias("_s"), "_n")
     last = days.agg(F.max("_n")).first()[0] or 0
-    first_window = F.floor(F.col("_n") / every) + 1
-    last_window = F.lit(last // every) if expanding else F.floor((F.col("_n") + window_size) / every)
-    sent = rows.withColumn("_w", F.explode(F.sequence(first_window, F.greatest(first_window, F.least(last_window, F.lit(last // every))))))
-    sent = sent.filter((F.col("_w") * every >= window_size) & (F.col("_w") * every <= last) & (F.col("_n") < F.col("_w") * every) & ((F.col("_n") >= F.col("_w") * every - window_size) | F.lit(expanding)))
+    final = F.lit(last // window_size)
+    last_block = final if expanding else F.least(F.floor((F.col("_n") + window_size - 1) / window_size), final)
+    sent = rows.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_n") / window_size), last_block)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="_n", columns=TICKER, values="_r").sort_index()
-        wide = wide.loc[:, wide.notna().mean() >= least_share].fillna(0.0)
-        r = wide.to_numpy()
-        wide = wide.loc[:, r.std(0) > 0] if len(r) else wide
-        r = wide.to_numpy()
-        if r.shape[1] == 0 or len(r) < 2:
-            return pd.DataFrame(columns=["_w", TICKER, "weight"])
-        c = risk.ESTIMATORS[estimator](r)
-        s = pdf.sort_values("_n").groupby(TICKER)["_s"].last().reindex(wide.columns).to_numpy() if signal_col else expected_returns(r)
-        w = OPTIMIZERS[method](r, s, c)
-        w = w * leverage / np.abs(w).sum()
-        return pd.DataFrame({"_w": pdf["_w"].iloc[0], TICKER: wide.columns, "weight": w})
-
-    made = sent.groupBy("_w").applyInPandas(run, "_w long, ticker string, weight double")
-    return made.join(days, F.col("_w") * every == F.col("_n")).select(DATE, TICKER, "weight")
+        b = int(pdf["_b"].iloc[0])
+        panel = pdf.pivot(index="_n", columns=TICKER, values="_r").sort_index()
+        signals = pdf.pivot(index="_n", columns=TICKER, values="_s").sort_index() if signal_col else None
+        out = [pd.DataFrame({"_n": pd.Series(dtype="int64"), TICKER: pd.Series(dtype="object"), "weight": pd.Series(dtype="float64")})]
+        for end in range(max(b * window_size, window_size - 1), min((b + 1) * window_size - 1, last) + 1):
+            if (end - window_size + 1) % every:
+                continue
+            start = 0 if expanding else end - window_size + 1
+            wide = panel.loc[start:end]
+            wide = wide.loc[:, wide.notna().mean() >= least_share].fillna(0.0)
+            r = wide.to_numpy()
+            wide = wide.loc[:, r.std(0) > 0] if len(r) else wide
+            r = wide.to_numpy()
+            if r.shape[1] == 0 or len(r) < 2:
+                continue
+            c = risk.ESTIMATORS[estimator](r)
+            s = signals.loc[start:end].ffill().iloc[-1].reindex(wide.columns).to_numpy() if signal_col else expected_returns(r)
+            w = OPTIMIZERS[method](r, s, c)
+            w = w * leverage / np.abs(w).sum()
+            out.append(pd.DataFrame({"_n": end, TICKER: wide.columns, "weight": w}))
+        return pd.concat(out[1:] or out)
+
+    # the number of partitions is given, as small rows with long kernels would else be gathered in a few tasks
+    made = sent.repartition(last // window_size + 1, "_b").groupBy("_b").applyInPandas(run, "_n long, ticker string, weight double")
+    return made.join(days, "_n").select(DATE, TICKER, "weight")
 
 
 def backtest(df: DataFrame, weights_df: DataFrame, return_col: str = "ret", rate: float = 0.001, start_value: float = 1.0, funding_col: str | None = None) -> DataFrame:

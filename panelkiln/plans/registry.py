@@ -248,10 +248,10 @@ full_query("portfolio_returns", lambda s, d: portfolio.portfolio_returns(portfol
            f"with {SHIP}, {RETS}, i as (select *, {when_full('ret', 30, f'1 / nullif(stddev_samp(ret) over {rolling(30)}, 0)')} as i from p), w as (select *, i / sum(i) over {D} as w from i), h as (select *, lag(w) over {T} as h from w), "
            f"c as (select *, abs(coalesce(h, 0) - coalesce(lag(h) over {T}, 0)) * 0.001::double as c from h) select date, round(sum(h * ret), 6) as gross, round(sum(c), 6) as cost, round(coalesce(sum(h * ret), 0) - sum(c), 6) as net from c group by date")
 for _method in portfolio.OPTIMIZERS:
-    full_query(f"optimize_{_method}", lambda s, d, m=_method: portfolio.windowed_weights(ship(s, d), method=m, window_size=60, every=120).select("date", "ticker", F.round("weight", 6).alias("weight")))
+    full_query(f"optimize_{_method}", lambda s, d, m=_method: portfolio.windowed_weights(ship(s, d), method=m, window_size=60, every=1).select("date", "ticker", F.round("weight", 6).alias("weight")))
 for _estimator in ("ledoit_wolf", "oas", "denoised_covariance", "exponential_covariance", "graphical_lasso"):
-    full_query(f"min_vol_{_estimator}", lambda s, d, e=_estimator: portfolio.windowed_weights(ship(s, d), method="min_vol", window_size=60, every=240, estimator=e).select("date", "ticker", F.round("weight", 6).alias("weight")))
-full_query("backtest", lambda s, d: portfolio.backtest((p := ship(s, d)), portfolio.windowed_weights(p, method="risk_parity", window_size=60, every=60)).select("date", F.round("value", 6).alias("value"), F.round("cost", 6).alias("cost")))
+    full_query(f"min_vol_{_estimator}", lambda s, d, e=_estimator: portfolio.windowed_weights(ship(s, d), method="min_vol", window_size=60, every=1, estimator=e).select("date", "ticker", F.round("weight", 6).alias("weight")))
+full_query("backtest", lambda s, d: portfolio.backtest((p := ship(s, d)), portfolio.windowed_weights(p, method="risk_parity", window_size=60, every=1)).select("date", F.round("value", 6).alias("value"), F.round("cost", 6).alias("cost")))
 
 # Performance
 panel_query("drawdown", ship, lambda p: metrics.drawdown(p, ret_type="log"), "drawdown", f"v / max(v) over {E} - 1", f"v as (select *, exp(sum(ret) over {E}) as v from p)", "v")
@@ -284,7 +284,7 @@ full_query("kendall_tau", lambda s, d: sorts.kendall_tau(panels.events_daily(s,
 
 # Learning
 full_query("pca", lambda s, d: learn.pca(ship(s, d), n_components=2).select("component", "ticker", F.round("loading", 6).alias("loading"), F.round("explained", 6).alias("explained")))
-full_query("rolling_pca", lambda s, d: learn.windowed_pca(ship(s, d), window_size=120, every=240, n_components=2).select("date", "component", F.round("score", 6).alias("score"), F.round("explained", 6).alias("explained")))
+full_query("rolling_pca", lambda s, d: learn.windowed_pca(ship(s, d), window_size=120, every=1, n_components=2).select("date", "component", F.round("score", 6).alias("score"), F.round("explained", 6).alias("explained")))
 full_query("ppca", lambda s, d: learn.ppca(ship(s, d), n_components=2).select("component", "ticker", F.round("loading", 4).alias("loading")))
 for _model in ("ols", "ridge", "lasso", "elastic_net"):
     full_query(f"forecast_{_model}", lambda s, d, m=_model: learn.forecast(ship_market(s, d), "ret", ["market", "volume"], model=m, window_size=120, every=60).select("date", "ticker", F.round("prediction", 6).alias("prediction")))

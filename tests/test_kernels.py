@@ -99,3 +99,44 @@ def test_single_linkage():
     d = np.array([[0, 1, 5], [1, 0, 4], [5, 4, 0]], float)
     assert portfolio.linkage(d)[0][:3] == (0, 1, 1.0) and portfolio.linkage(d)[1][2] == 4.0
     assert math.isclose(portfolio.hrp(np.random.default_rng(0).normal(size=(50, 4))).sum(), 1)
+
+
+def panel(spark, x: pd.DataFrame):
+    """A long panel of a wide frame, whose missing values are NULL."""
+    long = x.rename_axis(index="date", columns="ticker").stack(future_stack=True).rename("ret").reset_index()
+    return spark.createDataFrame(long, "date date, ticker string, ret double").replace(float("nan"), None)
+
+
+def test_each_date_has_the_weights_of_its_window(spark, r):
+    x = pd.DataFrame(r[:75], index=pd.date_range("2024-01-01", periods=75).date, columns=list("abcde"))
+    for every, expanding in ((1, False), (7, False), (45, False), (7, True)):
+        got = portfolio.windowed_weights(panel(spark, x), method="inverse_variance", window_size=20, every=every, expanding=expanding).toPandas().pivot(index="date", columns="ticker", values="weight").sort_index()
+        ends = range(19, 75, every)
+        assert list(got.index) == [x.index[e] for e in ends]
+        for e, w in zip(ends, got.to_numpy(), strict=True):
+            iv = 1 / r[0 if expanding else e - 19 : e + 1].var(0)
+            assert np.allclose(w, iv / iv.sum())
+
+
+def test_simplex_by_sorting_is_the_nearest_point():
+    rng = np.random.default_rng(4)
+    for v in rng.normal(size=(50, 6)) * 3:
+        w = portfolio._simplex(v)
+        assert np.allclose(w, portfolio._simplex(v, low=-1e-300)) and w.sum() == pytest.approx(1)
+
+
+def test_strides_leave_no_date_without_components(spark, r):
+    x = pd.DataFrame(r[:60], index=pd.date_range("2024-01-01", periods=60).date, columns=list("abcde"))
+    one, ten = (learn.windowed_pca(panel(spark, x), window_size=20, every=n).toPandas().set_index(["date", "component"]).sort_index() for n in (1, 10))
+    assert len(one) == len(ten) == 41 * 2 and list(one.index) == list(ten.index)
+    _, v, _ = learn.fit_pca(r[:20], 2)
+    z = (r[24] - r[:20].mean(0)) / r[:20].std(0) @ v
+    assert np.allclose(ten.loc[x.index[24], "score"], z) and np.allclose(ten.loc[x.index[19], "score"], one.loc[x.index[19], "score"])
+
+
+def test_weights_and_components_are_registered_for_every_date(spark):
+    from panelkiln.plans import registry
+
+    dates = registry.ship(spark, "/root/testdata/sf0.01").select("date").distinct().count()
+    for name in ("optimize_inverse_variance", "min_vol_oas"):
+        assert registry.QUERIES[name](spark, "/root/testdata/sf0.01").select("date").distinct().count() == dates - 59
