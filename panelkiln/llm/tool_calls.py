@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkiln.llm.shared import cut, small_batches, table
+from panelkiln.llm.shared import MOST_HOT, cut, small_batches, table
 
 _TYPES = {
     "object": lambda x: isinstance(x, dict), "array": lambda x: isinstance(x, list), "string": lambda x: isinstance(x, str), "boolean": lambda x: isinstance(x, bool), "null": lambda x: x is None,
@@ -90,18 +90,53 @@ def depths(parents: DataFrame) -> DataFrame:
     return state.select("call_id", F.when(~cyclic, F.col("depth")).alias("depth"), F.when(~cyclic, F.col("root_id")).alias("root_id"), cyclic.alias("cyclic"))
 
 
-def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row per call, and per identifier of results without a call.
+def more_results(results: DataFrame, got: DataFrame, calls: DataFrame, order: DataFrame) -> DataFrame:
+    """The results that aren't the first of their identifier (in got), a row each: with the least call of the identifier as more_result, or as no_call.
 
-    calls: call_id, parent_id, name, arguments (JSON text); results: call_id, content. Returns call_id, name, status (linked, no_result, no_call), n_results,
+    results has the row number _at, got has one row per identifier with the _at of its first result. Identifiers of many results (at most MOST_HOT, by
+    construction) are dealt out in parts of about equal size, and their one row of got goes to each part.
+    """
+    columns = ["call_id", "name", "arguments", "result", "status", "n_results", "depth", "root_id", "cyclic"]
+    none = lambda kind: F.lit(None).cast(kind)
+    lost = results.filter("call_id is null").select(
+        "call_id", none("string").alias("name"), none("string").alias("arguments"), F.col("content").alias("result"), F.lit("no_call").alias("status"), F.lit(1).cast("long").alias("n_results"),
+        none("long").alias("depth"), none("string").alias("root_id"), F.lit(False).alias("cyclic"),
+    )
+    many = got.filter("n_results > 1").select("_rid", "n_results", F.col("_at").alias("_first"))
+    if many.isEmpty():
+        return lost
+    rest = results.filter("call_id is not null").join(many.select("_first"), F.col("_at") == F.col("_first"), "left_anti")
+    hot_from = max(32, -(-results.count() // MOST_HOT))
+    parts = F.ceil(F.col("n_results") / hot_from)
+    hot = many.filter(F.col("n_results") >= hot_from).select(F.col("_rid").alias("_hot"), parts.alias("_parts"))
+    dealt = rest.join(F.broadcast(hot), F.col("call_id") == F.col("_hot"), "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("_at"), "_parts"), F.lit(0).cast("long")))
+    least = calls.join(many.select(F.col("_rid").alias("call_id")), "call_id", "left_semi").groupBy("call_id").agg(F.min(F.struct("name", "arguments")).alias("_c"), F.lit(True).alias("_called"))
+    told = many.join(least, F.col("_rid") == F.col("call_id"), "left").drop("call_id").join(order, F.col("_rid") == F.col("call_id"), "left").select(
+        "_rid", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("n_results") >= hot_from, parts - 1).otherwise(0).cast("long"))).alias("_to"), "n_results", "_called", "depth", "root_id", "cyclic",
+        F.col("_c.name").alias("name"), F.col("_c.arguments").alias("arguments"),
+    )
+    more = dealt.join(told, (F.col("call_id") == F.col("_rid")) & (F.col("_part") == F.col("_to")))
+    more = more.withColumns({"result": F.col("content"), "status": F.when(F.col("_called"), "more_result").otherwise("no_call"), "cyclic": F.coalesce("cyclic", F.lit(False))})
+    return lost.unionByName(more.select(columns))
+
+
+def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], every_result: bool = False) -> DataFrame:
+    """One row per call, and per identifier of results without a call; with `every_result` (as the query has it) also one per further result.
+
+    calls: call_id, parent_id, name, arguments (JSON text); results: call_id, content. Returns call_id, name, status (linked, no_result, no_call, more_result), n_results,
     depth, root_id, cyclic, valid, errors, message (canonical JSON of call_id, name, arguments, result). A parent stands before its
     children in the order of (root_id, depth, call_id).
 
-    Results are gathered by identifier before the join (the least content stays, n_results counts them), so no pair of rows with a common identifier is
-    made twice; null identifiers link with nothing. Calls that repeat an identifier are a row each, and take its least parent. Arguments that are null
+    Results are gathered by identifier before the join: the least content that isn't null is the identifier's first result and stands in the rows of its
+    calls, n_results counts all. Without `every_result` the other contents, and results with null identifiers, are in no row. With it each of them has its own
+    row: status more_result with the identifier's least call (by name and arguments), or no_call where there is none, as always for null identifiers
+    (n_results 1). So rows grow with calls plus results, never with their product; null identifiers link with nothing. Calls that repeat an identifier are a row each, and take its least parent. Arguments that are null
     or no JSON, and names without a schema, are invalid; their text stands in the message as it is. Empty tables give no rows.
     """
-    got = cut(results.filter("call_id is not null").groupBy(F.col("call_id").alias("_rid")).agg(F.min("content").alias("result"), F.count(F.lit(1)).alias("n_results")))
+    results = cut(results.select("call_id", "content", F.monotonically_increasing_id().alias("_at")))
+    first = F.min(F.struct(F.col("content").isNull().alias("none"), "content", "_at")).alias("_f")
+    got = results.filter("call_id is not null").groupBy(F.col("call_id").alias("_rid")).agg(first, F.count(F.lit(1)).alias("n_results"))
+    got = cut(got.select("_rid", F.col("_f.content").alias("result"), F.col("_f._at").alias("_at"), "n_results"))
     calls = cut(calls.select("call_id", "parent_id", "name", "arguments"))
     order = depths(cut(calls.filter("call_id is not null").groupBy("call_id").agg(F.min("parent_id").alias("parent_id"))))
     linked = (
@@ -133,7 +168,10 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
             out = pd.concat([b[["call_id", "name", "status", "n_results", "depth", "root_id", "cyclic"]].reset_index(drop=True), more], axis=1)
             yield out.assign(depth=out["depth"].astype("Int64"))
 
-    return linked.unionByName(alone, allowMissingColumns=True).mapInPandas(run, schema)
+    rows = linked.unionByName(alone, allowMissingColumns=True)
+    if every_result:
+        rows = rows.unionByName(more_results(results, got, calls, order))
+    return rows.mapInPandas(run, schema)
 
 
 #: The schema that the query's calls are held against.
@@ -155,6 +193,6 @@ def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn of a user or assistant, linked; conv_id, turn, status, n_results, depth, root_id, valid, message_sha256."""
     small_batches(spark)
     calls, results = as_calls(table(spark, sf_dir, "conversations"))
-    out = link_tool_calls(calls, results, {"ask": ASK})
+    out = link_tool_calls(calls, results, {"ask": ASK}, every_result=True)
     part = lambda i: F.split_part("call_id", F.lit("-"), F.lit(i)).cast("long")
     return out.select(part(1).alias("conv_id"), part(2).alias("turn"), "status", "n_results", "depth", "root_id", "valid", F.sha2("message", 256).alias("message_sha256"))

@@ -294,3 +294,16 @@ def test_tool_calls(spark):
     assert [by[x]["depth"] for x in "abcd"] == [0, 1, 2, 0] and by["c"]["root_id"] == "a" and by["x"]["cyclic"] and by["y"]["cyclic"]
     assert by["k49"]["depth"] == 49 and by["lost"]["status"] == "no_call" and by["b"]["status"] == "no_result" and by["c"]["status"] == "linked"
     assert json.loads(by["k3"]["message"])["arguments"] == {"q": "k"}
+
+
+def test_each_result_of_a_call_has_a_row(spark):
+    calls = [("a", None, "f", "{}"), ("a", None, "f", "[]"), ("b", "a", "f", "{}"), ("hot", "b", "f", "{}"), (None, None, "f", "{}")]
+    results = [("a", "r2"), ("a", "r1"), ("a", "r1"), ("a", None), ("lost", "x"), ("lost", "y"), (None, "n"), (None, "n"), (None, None)] + [("hot", f"h{i}") for i in range(3000)]
+    args = spark.createDataFrame(calls, "call_id string, parent_id string, name string, arguments string"), spark.createDataFrame(results, "call_id string, content string").repartition(4), {"f": {"type": "object"}}
+    got = [(r["call_id"], r["status"], json.loads(r["message"])["result"], r["n_results"], r["depth"], r["valid"]) for r in tool_calls.link_tool_calls(*args, every_result=True).collect()]
+    of = lambda x: sorted((r[1:] for r in got if r[0] == x), key=str)
+    assert of("a") == sorted([("linked", "r1", 4, 0, True), ("linked", "r1", 4, 0, False), *[("more_result", x, 4, 0, False) for x in ("r1", "r2", None)]], key=str)
+    assert of("b") == [("no_result", None, 0, 1, True)] and of("lost") == [("no_call", x, 2, None, False) for x in "xy"]
+    assert of(None) == sorted([("no_result", None, 0, None, True), ("no_call", "n", 1, None, False), ("no_call", "n", 1, None, False), ("no_call", None, 1, None, False)], key=str)
+    assert sorted(r[1] for r in of("hot")) == sorted(f"h{i}" for i in range(3000)) and {(r[0], r[2], r[3]) for r in of("hot")} == {("linked", 3000, 2), ("more_result", 3000, 2)}
+    assert len(got) == len(calls) + 3 + 2 + 3 + 2999
