@@ -189,10 +189,28 @@ def as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, conversations.filter("role = 'assistant'").select(F.when(some, name(1)).alias("call_id"), F.col("text").alias("content"))
 
 
+def other_turns(conversations: DataFrame) -> DataFrame:
+    """The turns that as_calls doesn't take (system, tool, any other role or none), a row each with status other_role; message is the canonical JSON of conv_id, turn, role, text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["message"] = [canonical({"conv_id": None if c is None else int(c), "turn": None if t is None else int(t), "role": r, "text": x}) for c, t, r, x in zip(b["_conv"], b["_turn"], b["role"], b["text"], strict=True)]
+            yield b[["_conv", "_turn", "message"]]
+
+    other = conversations.filter("role is null or role not in ('user', 'assistant')")
+    # numbers travel as texts, as pandas would make floats of columns with nulls
+    rows = other.select(F.col("conv_id").cast("string").alias("_conv"), F.col("turn").cast("string").alias("_turn"), "role", "text").mapInPandas(run, "_conv string, _turn string, message string")
+    return rows.select(
+        F.col("_conv").cast("long").alias("conv_id"), F.col("_turn").cast("long").alias("turn"), F.lit("other_role").alias("status"), F.lit(0).cast("long").alias("n_results"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast("string").alias("root_id"), F.lit(False).alias("valid"), "message",
+    )
+
+
 def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn of a user or assistant, linked; conv_id, turn, status, n_results, depth, root_id, valid, message_sha256."""
+    """All turns; conv_id, turn, status, n_results, depth, root_id, valid, message_sha256. Turns of users and assistants are linked, an answer in the row of its question; others are a row each."""
     small_batches(spark)
-    calls, results = as_calls(table(spark, sf_dir, "conversations"))
+    turns = table(spark, sf_dir, "conversations")
+    calls, results = as_calls(turns)
     out = link_tool_calls(calls, results, {"ask": ASK}, every_result=True)
     part = lambda i: F.split_part("call_id", F.lit("-"), F.lit(i)).cast("long")
-    return out.select(part(1).alias("conv_id"), part(2).alias("turn"), "status", "n_results", "depth", "root_id", "valid", F.sha2("message", 256).alias("message_sha256"))
+    out = out.select(part(1).alias("conv_id"), part(2).alias("turn"), "status", "n_results", "depth", "root_id", "valid", "message").unionByName(other_turns(turns))
+    return out.withColumn("message_sha256", F.sha2("message", 256)).drop("message")

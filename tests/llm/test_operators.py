@@ -307,3 +307,14 @@ def test_each_result_of_a_call_has_a_row(spark):
     assert of(None) == sorted([("no_result", None, 0, None, True), ("no_call", "n", 1, None, False), ("no_call", "n", 1, None, False), ("no_call", None, 1, None, False)], key=str)
     assert sorted(r[1] for r in of("hot")) == sorted(f"h{i}" for i in range(3000)) and {(r[0], r[2], r[3]) for r in of("hot")} == {("linked", 3000, 2), ("more_result", 3000, 2)}
     assert len(got) == len(calls) + 3 + 2 + 3 + 2999
+
+
+def test_tool_calls_cover_all_turns(spark, tmp_path):
+    turns = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (1, 3, "tool", "t"), (1, 4, "User", "v"), (2, None, None, None), (None, 3, "system", "\u00e9"), (2, 1, "assistant", "b"), (None, 1, "assistant", "c"), (None, 2, "user", "w"), (1, 2, "assistant", "again")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = tool_calls.op7_tool_calls(spark, str(tmp_path)).collect()
+    assert collections.Counter(r["status"] for r in got) == {"other_role": 5, "linked": 1, "more_result": 1, "no_call": 2, "no_result": 1}
+    assert len(got) == len(turns) - 1  # one answer stands in the row of its question
+    sha = {(r["conv_id"], r["turn"]): r["message_sha256"] for r in got if r["status"] == "other_role"}
+    assert set(sha) == {(1, 0), (1, 3), (1, 4), (2, None), (None, 3)}
+    assert sha[None, 3] == hashlib.sha256('{"conv_id":null,"role":"system","text":"\u00e9","turn":3}'.encode()).hexdigest()
