@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkiln.llm.partenum import fine_signatures, least_distance, node_of, shared_at_least, shingles_of, signatures, sketch
-from panelkiln.llm.shared import cut, exact_groups, give_back, small_batches, table
+from panelkiln.llm.shared import cut, exact_groups, free_name, give_back, small_batches, table
 
 #: Similarity in percent.
 PERCENT = 75
@@ -400,8 +400,16 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """One document of each component, that of the least doc_id, all its columns as they were. Documents with null ids stay."""
+    """One document of each component, that of the least doc_id, all its columns as they were. Documents with null ids stay.
+
+    Where ids repeat, rows are numbered in the order of ids, and the numbers stand for the ids.
+    """
     small_batches(spark)
-    found = near_duplicates(docs)
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        gone = near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    mark = free_name(docs, "_row")
+    rows = cut(docs.orderBy("doc_id", F.xxhash64("text")).withColumn(mark, F.monotonically_increasing_id()))
+    found = near_duplicates(rows.select(F.when(F.col("doc_id").isNotNull(), F.col(mark)).alias("doc_id"), "text"))
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return rows.join(gone, rows[mark] == gone["_gone"], "left_anti").drop(mark)
