@@ -126,17 +126,24 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def _by_join(base: DataFrame, found: DataFrame) -> DataFrame:
-    """The same by an index kept as a table, for rule sets that are too many to inline: (token, rule) rows meet the tokens by hash join."""
+    """The same by an index kept as a table, for rule sets that are too many to inline: (token, rule) rows meet the tokens by hash join.
+
+    Of the rules that minimal_rules drops, those weaker than the rule that stands for them are never the strongest. The others equal it in confidence and
+    support; so do all rules between the two, so a rule goes if one without one of its items equals it.
+    """
     base = cut(base.withColumn("_row", F.monotonically_increasing_id()))
-    rules = found.withColumn("_rule", F.xxhash64("items", "verdict"))
+    key = ["items", "verdict", "confidence", "support"]
+    less = found.withColumn("_less", F.explode(F.transform("items", lambda x: F.array_remove("items", x)))).select(F.col("items").alias("_whole"), F.col("_less").alias("items"), *key[1:])
+    beaten = less.join(found.select(key), key, "left_semi").select(F.col("_whole").alias("items"), "verdict").distinct()
+    rules = cut(found.join(beaten, ["items", "verdict"], "left_anti").withColumn("_rule", F.xxhash64("items", "verdict")))
     index = rules.select(F.explode("items").alias("token"), "_rule", F.size("items").alias("need"), "items", "verdict", "confidence", "support")
-    strength = F.struct("confidence", "support", "need", F.concat_ws(" & ", "items").alias("mined"), "verdict")
+    strength = F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("p"), (-F.col("need")).alias("n"), "items", "verdict")
     best = (
         base.filter("given is null").select("_row", F.explode("tokens").alias("token")).join(index, "token")
         .groupBy("_row", "_rule").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"), F.first(strength).alias("s")).filter("n = need")
-        .groupBy("_row").agg(F.max("s").alias("s"))
+        .groupBy("_row").agg(F.min("s").alias("s"))
     )
-    return base.join(best, "_row", "left").select("page_id", "host", "path", "rule", F.coalesce("given", "s.verdict", F.lit("allow")).alias("verdict"), F.col("s.mined").alias("mined"))
+    return base.join(best, "_row", "left").select("page_id", "host", "path", "rule", F.coalesce("given", "s.verdict", F.lit("allow")).alias("verdict"), F.when(F.col("s").isNotNull(), F.concat_ws(" & ", "s.items")).alias("mined"))
 
 
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

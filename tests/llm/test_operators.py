@@ -318,3 +318,18 @@ def test_tool_calls_cover_all_turns(spark, tmp_path):
     sha = {(r["conv_id"], r["turn"]): r["message_sha256"] for r in got if r["status"] == "other_role"}
     assert set(sha) == {(1, 0), (1, 3), (1, 4), (2, None), (None, 3)}
     assert sha[None, 3] == hashlib.sha256('{"conv_id":null,"role":"system","text":"\u00e9","turn":3}'.encode()).hexdigest()
+
+
+def test_number_of_mined_rules_changes_no_result(spark):
+    # Words that always stand together: ties in confidence and support, of other verdicts too, and longer rules that equal shorter ones.
+    rules = (("a.com", "/p/", "allow"), ("b.com", "/q/", "block"))
+    urls = ["http://a.com/p/a/b/c?z=1"] * 6 + ["http://b.com/q/d/e?y=1"] * 6 + ["http://c.com/a/d/b/e/c?z=1&y=1", "http://c.com/a/d", "http://c.com/d/e/c", "http://c.com/b/q/p", "http://c.com/none"] * 3
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    a = as_dict(url_rules.url_filter(pages, rules=rules), "page_id")
+    before, url_rules.INLINE_RULES = url_rules.INLINE_RULES, 0
+    try:
+        b = as_dict(url_rules.url_filter(pages, rules=rules), "page_id")
+    finally:
+        url_rules.INLINE_RULES = before
+    assert {k: (r["verdict"], r["mined"]) for k, r in a.items()} == {k: (r["verdict"], r["mined"]) for k, r in b.items()}
+    assert {"allow", "block"} <= {r["verdict"] for r in a.values() if r["mined"]}
