@@ -96,17 +96,24 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     pos = text.join(F.broadcast(toxic), F.col("doc_id") == F.col("_toxic")).select(F.lit(True).alias("positive"), "text")
     sample = cut(pos.unionByName(text.filter(share("doc_id", unlabelled, n_docs)).select(F.lit(False).alias("positive"), "text")))
 
+    size = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
+    n_p, n_u = size.get(True, 0), size.get(False, 0)
+    if not n_p or not n_u:
+        return np.zeros(0, "u8"), np.array([-np.inf])
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                keys, n = np.unique(np.concatenate([features(x) for x in b["text"]]), return_counts=True)
-                yield pd.DataFrame({"key": keys.astype("i8"), "n": n})
-
-    seen = (
-        sample.filter("positive").select("text").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "key").limit(16 * n_features).collect()
-    )
-    keys = np.array(sorted(np.array([r[0] for r in seen], "i8").astype("u8")), "u8")
+            for positive, texts in b.groupby("positive")["text"]:
+                keys, n = np.unique(np.concatenate([features(x) for x in texts]), return_counts=True)
+                yield pd.DataFrame({"key": keys.astype("i8"), "p": n * bool(positive), "u": n * (not positive)})
+
+    # All features of enough positive documents are tested; the best are ordered by z, then by hash (unsigned).
+    p, u = F.col("p"), F.col("u")
+    both = (p + u) / float(n_p + n_u)
+    z = (p / float(n_p) - u / float(n_u)) / F.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u) + 1e-12)
+    counted = sample.mapInPandas(count, "key long, p long, u long").groupBy("key").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).filter(p >= LEAST_DOCS)
+    best = counted.withColumn("z", z).filter("z > 3").orderBy(F.desc("z"), F.col("key") < 0, "key").limit(n_features).select("key").collect()
+    keys = np.sort(np.array([r[0] for r in best], "i8").astype("u8"))
 
     def hits(keys: np.ndarray):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,18 +123,6 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
         return sample.mapInPandas(run, "positive boolean, hits array<int>")
 
-    counted = hits(keys).select("positive", F.explode("hits").alias("k")).groupBy("k").agg(
-        F.sum(F.col("positive").cast("long")).alias("p"), F.sum((~F.col("positive")).cast("long")).alias("u")
-    ).collect()
-    size = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
-    n_p, n_u = size.get(True, 0), size.get(False, 0)
-    if not n_p or not n_u:
-        return np.zeros(0, "u8"), np.array([-np.inf])
-    k, p, u = (np.array([r[x] for r in counted], "f8") for x in ("k", "p", "u"))
-    both = (p + u) / (n_p + n_u)
-    z = (p / n_p - u / n_u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u) + 1e-12)
-    best = np.lexsort((k, -z))[:n_features]
-    keys = np.sort(keys[k[best[z[best] > 3]].astype("i8")])
     got = hits(keys).collect()
     w = fit_nnpu([np.array(r["hits"], "i8") for r in got], np.array([r["positive"] for r in got], bool), len(keys), n_toxic / n)
     return keys, w

@@ -333,3 +333,11 @@ def test_number_of_mined_rules_changes_no_result(spark):
         url_rules.INLINE_RULES = before
     assert {k: (r["verdict"], r["mined"]) for k, r in a.items()} == {k: (r["verdict"], r["mined"]) for k, r in b.items()}
     assert {"allow", "block"} <= {r["verdict"] for r in a.values() if r["mined"]}
+
+
+def test_rare_toxic_words_are_features_among_many_common_ones(spark):
+    common = " ".join(f"{a}{b}" for a in "abcdefghijklmnopqrst" for b in "uvwxyz")
+    rows = [(i, common + (" " + ("scumbag" if i % 8 == 0 else "moron") if i % 4 == 0 else "")) for i in range(400)]
+    labels = [(i, int(i % 4 == 0)) for i in range(400)]
+    keys, w = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), n_features=7)
+    assert set(keys) == set(toxicity.features("scumbag moron")) and len(w) == len(keys) + 1
