@@ -54,25 +54,35 @@ def pca(df: DataFrame, value_col: str = "ret", n_components: int = 2) -> DataFra
 
 
 def windowed_pca(df: DataFrame, value_col: str = "ret", window_size: int = 120, every: int = 1, n_components: int = 2, expanding: bool = False, aligned: bool = True) -> DataFrame:
-    """date, component, score, explained at each complete date from the first full window on: the last row's scores of its window, components matched to the window before where `aligned`.
+    """date, component, score, explained at each date from the first full window on, components matched to the window before where `aligned`.
 
-    Windows are fitted at every n-th date; the dates between are scored with the loadings, mean and deviation of the last one fitted. Matching makes
-    windows depend on each other, so one kernel walks over them.
+    Windows are of all dates, and each has the names without a gap in it (dates that all names miss aside). Where these are fewer than components, it has the
+    names with any value, on its dates without a gap; where those dates aren't more than components, it gives no rows. They end at every n-th date; the dates between are scored with the loadings, mean and deviation of the last one. A score is NULL where its date
+    lacks a value. Matching, on the names that both windows have, makes windows depend on each other, so one kernel walks over them.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = _wide(pdf, value_col).dropna()
+        w = _wide(pdf, value_col)
         x, before, rows = w.to_numpy(float), None, []
         for i in range(window_size - 1, len(x), every):
             past = x[0 if expanding else i - window_size + 1 : i + 1]
-            s, v, e = fit_pca(past, n_components)
+            past = past[~np.isnan(past).all(1)]
+            at = np.flatnonzero(~np.isnan(past).any(0))
+            if len(at) < n_components:
+                at = np.flatnonzero(~np.isnan(past).all(0))
+                past = past[~np.isnan(past[:, at]).any(1)]
+            if min(len(past) - 1, len(at)) < n_components:
+                continue
+            past = past[:, at]
+            _, v, e = fit_pca(past, n_components)
             if aligned and before is not None:
-                order, sign = align(v, before)
-                s, v, e = s[:, order] * sign, v[:, order] * sign, e[order]
-            before = v
+                order, sign = align(v, before[at])
+                v, e = v[:, order] * sign, e[order]
+            before = np.zeros((x.shape[1], v.shape[1]))
+            before[at] = v
             sd = past.std(0)
-            between = (x[i + 1 : i + every] - past.mean(0)) / np.where(sd > 0, sd, 1) @ v
-            rows += [(w.index[i + j], k + 1, y[k], e[k]) for j, y in enumerate([s[-1], *between]) for k in range(v.shape[1])]
+            scores = (x[i : i + every, at] - past.mean(0)) / np.where(sd > 0, sd, 1) @ v
+            rows += [(w.index[i + j], k + 1, y[k], e[k]) for j, y in enumerate(scores) for k in range(v.shape[1])]
         return pd.DataFrame(rows, columns=["date", "component", "score", "explained"])
 
     return df.select(DATE, TICKER, value_col).groupBy(F.lit(1).alias("_k")).applyInPandas(lambda pdf: run(pdf), "date date, component long, score double, explained double")

@@ -140,3 +140,22 @@ def test_weights_and_components_are_registered_for_every_date(spark):
     dates = registry.ship(spark, "/root/testdata/sf0.01").select("date").distinct().count()
     for name in ("optimize_inverse_variance", "min_vol_oas"):
         assert registry.QUERIES[name](spark, "/root/testdata/sf0.01").select("date").distinct().count() == dates - 59
+
+
+def test_late_names_take_no_dates_from_others(spark, r):
+    x = pd.DataFrame(r[:60], index=pd.date_range("2024-01-01", periods=60).date, columns=list("abcde"))
+    x.iloc[:40, 4] = np.nan
+    x.iloc[45, 0] = np.nan
+    got = learn.windowed_pca(panel(spark, x), window_size=20).toPandas().pivot(index="date", columns="component", values="score").sort_index()
+    assert list(got.index) == list(x.index[19:]) and got.notna().all().all()
+    for i, names in ((30, [0, 1, 2, 3]), (59, [1, 2, 3, 4])):
+        s = learn.fit_pca(r[i - 19 : i + 1][:, names], 2)[0][-1]
+        assert np.allclose(np.sort(np.abs(got.loc[x.index[i]])), np.sort(np.abs(s)))
+
+
+def test_windows_with_gaps_in_all_names_keep_their_dates(spark, r):
+    x = pd.DataFrame(r[:40], index=pd.date_range("2024-01-01", periods=40).date, columns=list("abcde"))
+    for k in range(5):
+        x.iloc[10 + k, k] = np.nan
+    got = learn.windowed_pca(panel(spark, x), window_size=20).toPandas().pivot(index="date", columns="component", values="score").sort_index()
+    assert list(got.index) == list(x.index[19:]) and got.notna().all().all()
