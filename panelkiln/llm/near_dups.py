@@ -10,16 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkiln.llm.partenum import fine_signatures, least_distance, node_of, shared_at_least, shingles_of, signatures, sketch
-from panelkiln.llm.shared import cut, exact_groups, free_name, give_back, small_batches, table
+from panelkiln.llm.shared import MOST_HOT, cut, discard, exact_groups, free_name, fresh_dir, give_back, parted, small_batches, stored, table
 
 #: Similarity in percent.
 PERCENT = 75
 #: A map task hands on its signatures by so many.
 FLUSH = 1 << 20
-#: About so many signatures to a bucket, and no more buckets than that.
-PER_BUCKET, MOST_BUCKETS = 1 << 21, 1 << 18
-#: Pairs of different components of a group are written out up to so many; a group with more gets a star and another round.
+#: About so many signatures to a bucket, and no fewer and no more buckets than that.
+PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 1 << 21, 1 << 6, 1 << 18
+#: Pairs of different components of a group are compared up to so many; a group with more gets a star and another round.
 WHOLE_GROUP = 1 << 17
+#: Groups are compared by tasks of about so many entries, and their pairs by so many at a time.
+PER_TASK, AT_ONCE = 1 << 16, 1 << 16
+#: Edges of a forest that one task joins (16 MB).
+ONE_TASK = 1 << 20
+#: The features of pairs' nodes are looked up by broadcast names up to so many pairs.
+FEW_PAIRS = 1 << 16
 #: 64-bit words of the filter that tells which documents' sets are needed.
 FILTER_WORDS = 1 << 18
 
@@ -34,15 +40,12 @@ def sets_of(texts: pd.Series) -> Iterator[tuple[int, np.ndarray]]:
         yield from enumerate(shingles_of(texts[i : i + 64]), i)
 
 
-def _bucket_bits(n_signatures: int, least: int) -> int:
-    bits = 1
-    while (1 << bits) < min(MOST_BUCKETS, max(least, n_signatures // PER_BUCKET)):
-        bits += 1
-    return bits
+def _bucket_bits(n_signatures: int) -> int:
+    return int(min(MOST_BUCKETS, max(LEAST_BUCKETS, n_signatures // PER_BUCKET)) - 1).bit_length()
 
 
 def _deal(bits: int, sig: np.ndarray, node: np.ndarray, mark: dict | None) -> pd.DataFrame:
-    """Signatures and their nodes as a row of arrays for each bucket: 32 bits of each signature beyond those of the bucket, and how many each node has."""
+    """Signatures and their nodes as a row of arrays for each bucket: 32 bits of each signature beyond those of the bucket, how many each node has, and nodes' marks (0 for a node's own name)."""
     bucket = (sig >> np.uint64(64 - bits)).astype("i8")
     order = np.lexsort((node, bucket))
     bucket, sig, node = bucket[order], ((sig >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")[order], node[order]
@@ -50,7 +53,7 @@ def _deal(bits: int, sig: np.ndarray, node: np.ndarray, mark: dict | None) -> pd
     rows = []
     for a, b in zip(edges, [*edges[1:], len(bucket)], strict=True):
         names, n = np.unique(node[a:b], return_counts=True)
-        marks = np.array([mark[int(x)] for x in names], "<i8").tobytes() if mark is not None else b""
+        marks = b"" if mark is None else np.array([mark.get(x, 0) for x in names.tolist()], "<i8").tobytes()
         rows.append((int(bucket[a]), sig[a:b].tobytes(), n.astype("<u4").tobytes(), names.astype("<i8").tobytes(), marks))
     return pd.DataFrame(rows, columns=["bucket", "sigs", "at", "nodes", "marks"])
 
@@ -62,6 +65,7 @@ def _groups(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     node = np.concatenate([each(x, n) for x, n in zip(pdf["nodes"], pdf["at"], strict=True)])
     marks = [each(m, n) for m, n in zip(pdf["marks"], pdf["at"], strict=True) if m]
     mark = np.concatenate(marks) if marks else node
+    mark = np.where(mark == 0, node, mark)
     order = np.argsort(sig, kind="stable")
     same = np.diff(sig[order]) == 0
     keep = order[np.append(same, False) | np.insert(same, 0, False)]
@@ -76,14 +80,6 @@ def _groups(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return node, mark, np.flatnonzero(np.append(True, sig[1:] != sig[:-1])[: len(sig)])
 
 
-def _across(node: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """All pairs of nodes of different components: nodes stand component by component, `size` of each."""
-    end = np.cumsum(size)
-    pairs = [np.stack([np.repeat(node[b - k : b], len(node) - b), np.tile(node[b:], k)], 1) for b, k in zip(end[:-1], size[:-1], strict=True)]
-    p = np.concatenate(pairs)
-    return np.sort(p, axis=1)
-
-
 def _pair_rows(pairs: list[np.ndarray], parts: int, shared: np.ndarray | None = None) -> pd.DataFrame:
     """Distinct pairs as arrays, dealt by a hash of the pair; and how often each node is in `shared`, dealt by node."""
     p = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), "<i8")
@@ -153,78 +149,127 @@ def coarse_pairs(docs: DataFrame, bits: int, parts: int) -> DataFrame:
     return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(emit, BLOBS).groupBy("bucket").applyInPandas(reduce, PAIRS)
 
 
-def _possible(pairs: np.ndarray, size: dict[int, int], sketches: dict[int, bytes]) -> np.ndarray:
-    """Those pairs that sizes and sketches don't rule out; the sketches of a group fold to its shortest."""
-    names, at = np.unique(pairs, return_inverse=True)
-    at = at.reshape(pairs.shape)
-    n = np.array([size[int(x)] for x in names])
-    a, b = n[at[:, 0]], n[at[:, 1]]
-    ok = np.minimum(a, b) * 100 >= np.maximum(a, b) * PERCENT
-    least = min(len(sketches[int(x)]) for x in names)
-    bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(sketches[int(x)], "u1").reshape(-1, least), 0) for x in names])
-    bits = bits.view("u8") if least % 8 == 0 else bits
-    for i in range(0, len(pairs), 1 << 15):
-        some = slice(i, i + (1 << 15))
-        apart = np.bitwise_count(bits[at[some, 0]] ^ bits[at[some, 1]]).sum(1, dtype="i8")
-        ok[some] &= apart * (100 + PERCENT) <= (100 - PERCENT) * (a[some] + b[some])
-    return pairs[ok]
+def _pairs_within(size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of each group, about AT_ONCE at a time; groups stand one after the other, `size` of each."""
+    first = np.cumsum(size) - size
+    for n in np.unique(size):
+        at = first[size == n]
+        rows = max(1, AT_ONCE // int(n))  # of the upper triangle
+        for r in range(0, n - 1, rows):
+            x, y = np.triu_indices(min(rows, n - r), 1, n - r)
+            some = max(1, AT_ONCE // len(x))
+            for i in range(0, len(at), some):
+                yield (at[i : i + some, None] + (x + r)).ravel(), (at[i : i + some, None] + (y + r)).ravel()
 
 
-def fine_pairs(sets: DataFrame, bits: int, parts: int, whole: int) -> DataFrame:
-    """Pairs of nodes of different components (mark) that share a fine signature. A row with `again` has the nodes of groups with more than `whole` such pairs: they got stars alone."""
+class _Sketches:
+    """Sketches of different lengths, all folded to any of those lengths."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.raw, self.length, self.folded = sketches, np.array([len(x) for x in sketches]), {}
+
+    def to(self, length: int) -> np.ndarray:
+        if length not in self.folded:
+            bits = np.zeros((len(self.raw), length), "u1")
+            for i in np.flatnonzero(self.length >= length):
+                bits[i] = np.bitwise_xor.reduce(np.frombuffer(self.raw[i], "u1").reshape(-1, length), 0)
+            self.folded[length] = bits.view("u8")
+        return self.folded[length]
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Lower bounds of the Hamming distances of pairs."""
+        length, out = np.minimum(self.length[x], self.length[y]), np.zeros(len(x), "i8")
+        for n in np.unique(length):
+            at, bits = length == n, self.to(int(n))
+            out[at] = np.bitwise_count(bits[x[at]] ^ bits[y[at]]).sum(1, dtype="i8")
+        return out
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sigs, nodes, marks, about, held = [], [], {}, {}, 0
 
-        def flush() -> pd.DataFrame:
-            out = _deal(bits, np.concatenate(sigs), np.repeat(np.array(nodes, "i8"), [len(x) for x in sigs]), marks)
-            names = [np.frombuffer(x, "<i8").tolist() for x in out["nodes"]]
-            return out.assign(sizes=[np.array([about[x][0] for x in row], "<i8").tobytes() for row in names], sketches=[[about[x][1] for x in row] for row in names])
+MEETINGS = "task long, nodes binary, sizes binary, pairs binary, again boolean"
 
+
+def fine_groups(sets: DataFrame, bits: int, whole: int) -> DataFrame:
+    """Groups of nodes, not all of one component (mark), that share a fine signature, some to a task.
+
+    A row with `again` has a group of more than `whole` pairs of different components: its pairs are those of a star.
+    """
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sigs, nodes, marks, held = [], [], {}, 0
         for b in batches:
-            for r in b.itertuples(index=False):
-                nodes.append(r.node)
-                marks[r.node], about[r.node] = r.mark, (r.size, r.sketch)
-                sigs.append(np.unique(fine_signatures(np.frombuffer(r.features, "<u8"), PERCENT)))
+            for node, mark, features in zip(b["node"], b["mark"], b["features"], strict=True):
+                nodes.append(node)
+                if mark != node:
+                    marks[node] = mark
+                sigs.append(np.unique(fine_signatures(np.frombuffer(features, "<u8"), PERCENT)))
                 held += len(sigs[-1])
                 if held >= FLUSH:
-                    yield flush()
-                    sigs, nodes, marks, about, held = [], [], {}, {}, 0
+                    yield _deal(bits, np.concatenate(sigs), np.repeat(np.array(nodes, "i8"), [len(x) for x in sigs]), marks)
+                    sigs, nodes, marks, held = [], [], {}, 0
         if sigs:
-            yield flush()
+            yield _deal(bits, np.concatenate(sigs), np.repeat(np.array(nodes, "i8"), [len(x) for x in sigs]), marks)
+        give_back()
 
-    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        bucket, rows = int(pdf["bucket"].iloc[0]), []
         node, mark, first = _groups(pdf)
-        size_of, sketch_of = {}, {}
-        for names, sizes, some in zip(pdf["nodes"], pdf["sizes"], pdf["sketches"], strict=True):
-            names = np.frombuffer(names, "<i8").tolist()
-            size_of.update(zip(names, np.frombuffer(sizes, "<i8").tolist(), strict=True))
-            sketch_of.update(zip(names, some, strict=True))
-        out, again, done, held = [], [], set(), 0
-        for a, b in zip(first, [*first[1:], len(node)], strict=True):
-            n, m = node[a:b], mark[a:b]
-            if (m == m[0]).all():
-                continue
-            key = hash(n.tobytes())
-            if key in done:  # the same nodes under another signature
-                continue
-            done.add(key)
-            _, size = np.unique(m, return_counts=True)
-            if (len(n) ** 2 - (size**2).sum()) // 2 > whole:
-                again.append(n)
-                out.append(np.stack([np.full(len(n) - 1, n[0]), n[1:]], 1)[m[1:] != m[0]])
-                continue
-            out.append(_possible(_across(n[np.argsort(m, kind="stable")], size), size_of, sketch_of))
-            held += len(out[-1])
-            if held > 1 << 21:
-                out, held = [np.unique(np.concatenate(out), axis=0)], 0
+        if len(first):
+            size, done, some, held = np.diff(np.append(first, len(node))), set(), [], 0
+
+            def close() -> None:
+                nonlocal some, held
+                if some:
+                    rows.append(((bucket << 32) + len(rows), np.concatenate(some).astype("<i8").tobytes(), np.array([len(x) for x in some], "<i8").tobytes(), None, False))
+                some, held = [], 0
+
+            for i in np.flatnonzero(np.minimum.reduceat(mark, first) != np.maximum.reduceat(mark, first)):
+                n, m = node[first[i] : first[i] + size[i]], mark[first[i] : first[i] + size[i]]
+                key = hash(n.tobytes())
+                if key in done:  # the same nodes under another signature
+                    continue
+                done.add(key)
+                if len(n) ** 2 > 2 * whole and (len(n) ** 2 - (np.unique(m, return_counts=True)[1] ** 2).sum()) // 2 > whole:
+                    star = np.stack([np.full(len(n) - 1, n[0]), n[1:]], 1)[m[1:] != m[0]]
+                    rows.append((-1, n.tobytes(), None, star.tobytes(), True))
+                    continue
+                some.append(n)
+                held += len(n)
+                if held >= PER_TASK:
+                    close()
+            close()
+        give_back()
+        return pd.DataFrame(rows, columns=["task", "nodes", "sizes", "pairs", "again"])
+
+    return sets.select("node", "mark", "features").mapInPandas(emit, BLOBS).groupBy("bucket").applyInPandas(meet, MEETINGS)
+
+
+def fine_pairs(groups: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """Pairs of nodes of different components within those groups that sizes and sketches don't rule out. Each task gets a node's sketch once."""
+
+    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for task, nodes in zip(b["task"], b["nodes"], strict=True):
+                yield pd.DataFrame({"node": np.unique(np.frombuffer(nodes, "<i8"))}).assign(task=task)
+
+    def compare(groups: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = known.sort_values("node", ignore_index=True)
+        name, mark, n, sketches = known["node"].to_numpy(), known["mark"].to_numpy(), known["size"].to_numpy(), _Sketches(known["sketch"].tolist())
+        out = []
+        for nodes, sizes in zip(groups["nodes"], groups["sizes"], strict=True):
+            place = np.searchsorted(name, np.frombuffer(nodes, "<i8"))
+            for x, y in _pairs_within(np.frombuffer(sizes, "<i8")):
+                x, y = place[x], place[y]
+                ok = (mark[x] != mark[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * PERCENT)
+                x, y = np.divmod(np.unique(np.minimum(x[ok], y[ok]) * len(name) + np.maximum(x[ok], y[ok])), len(name))
+                ok = sketches.apart(x, y) * (100 + PERCENT) <= (100 - PERCENT) * (n[x] + n[y])
+                out.append(np.stack([name[x[ok]], name[y[ok]]], 1))
         rows = _pair_rows(out, parts)
-        if again:
-            rows = pd.concat([rows, pd.DataFrame([(0, None, np.unique(np.concatenate(again)).tobytes(), None, True)], columns=rows.columns)])
         give_back()
         return rows
 
-    return sets.mapInPandas(emit, BLOBS + ", sizes binary, sketches array<binary>").groupBy("bucket").applyInPandas(reduce, PAIRS)
+    groups = groups.filter("not again").select("task", "nodes", "sizes")
+    known = cut(groups.mapInPandas(names, "node long, task long").join(sets.select("node", "mark", "size", "sketch"), "node"))
+    return groups.groupBy("task").cogroup(known.groupBy("task")).applyInPandas(compare, PAIRS)
 
 
 def _named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -283,27 +328,75 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield b.loc[np.array(ok, bool), ["u", "v"]]
 
+    left = cut(left)
+    if left.count() <= FEW_PAIRS:
+        sets = sets.join(F.broadcast(left.select(F.explode(F.array("u", "v")).alias("node")).distinct()), "node", "left_semi")
     return left.join(full("u"), "u").join(full("v"), "v").select("u", "v", "u_features", "v_features").mapInPandas(exact, "u long, v long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) of each node that has links; root is the least node reachable. Alternating large and small stars, all in tables."""
-    edges = cut(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(u, v): the nodes of a task's links, each with the least that those links reach."""
+    found = [b.to_numpy() for b in batches]
+    if not found:
+        return
+    names, at = np.unique(np.concatenate(found), return_inverse=True)
+    x, y = at.reshape(-1, 2).T
+    root = np.arange(len(names))
+    while True:
+        least = np.minimum(root[x], root[y])
+        if (root[x] == root[y]).all():
+            break
+        np.minimum.at(root, root[x], least)
+        np.minimum.at(root, root[y], least)
+        while (root != root[root]).any():
+            root = root[root]
+    other = np.flatnonzero(root != np.arange(len(names)))
+    for i in range(0, len(other), 1 << 16):
+        some = other[i : i + (1 << 16)]
+        yield pd.DataFrame({"u": names[some], "v": names[root[some]]})
+
+
+def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """edges with column m of `least` (u, m, n = rows of u): nodes of very many edges, MOST_HOT at most by construction, get theirs by broadcast, so no task has all edges of one."""
+    hot = F.col("n") >= max(32, -(-total // MOST_HOT))
+    tried = edges.join(F.broadcast(least.filter(hot).select("u", "m")), "u", "left")
+    rest = tried.filter("m is null").drop("m").join(least.filter(~hot).select("u", "m"), "u")
+    return tried.filter("m is not null").unionByName(rest)
+
+
+def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """(node, root) of each node that has links; root is the least node reachable.
+
+    First the links of each task become a forest. Up to `one_task` edges of those, so many as a task holds whatever the input, are joined by one more task;
+    beyond that alternating large and small stars make all components at once. Every step of them is a written table (their sizes are known to the
+    planner, while those of checkpoints of joins are estimated by products that grow with each step), and a round's tables go when the next round's are there.
+    """
+    spark = links.sparkSession
+    top = fresh_dir(spark, "components")
+    down = lambda e: e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     total = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 40))).first())
+    step = 0
+    edges = stored(links.filter("u <> v").mapInPandas(_forest, "u long, v long"), f"{top}/{step}/edges")
     before = total(edges)
+    if before[0] <= one_task:
+        edges = stored(edges.coalesce(1).mapInPandas(_forest, "u long, v long"), f"{top}/whole")
+        before = (0, 0)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        edges = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        now = total(edges)
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), f"{top}/{step}/least")
+        large = stored(_with_least(both, least, 2 * before[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), f"{top}/{step}/large")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), f"{top}/{step}/least-of-large")
+        small = _with_least(large, least, before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
+        edges = stored(down(small), f"{top}/{step + 1}/edges")
+        discard(spark, f"{top}/{step}")
+        step, now = step + 1, total(edges)
         if now == before:
             break
         before = now
     star = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-    return cut(star.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+    out = cut(star.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+    discard(spark, top)
+    return out
 
 
 def needed_sets(text: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -356,7 +449,7 @@ def near_duplicates(docs: DataFrame, whole_group: int = WHOLE_GROUP) -> DataFram
     total = base.agg(F.sum("n_shingles")).first()[0] or 0
     linked = None
     if total:
-        coarse = cut(coarse_pairs(text, _bucket_bits(total * 3 // 4, parts // 2), parts))
+        coarse = cut(coarse_pairs(text, _bucket_bits(total * 3 // 4), parts))
         nodes = cut(likely_nodes(coarse, base))
         if nodes.count():
             names = nodes.select("node")
@@ -370,9 +463,11 @@ def near_duplicates(docs: DataFrame, whole_group: int = WHOLE_GROUP) -> DataFram
             whole, asked = whole_group, sets
             while True:
                 size = asked.agg(F.sum("size")).first()[0] or 0
-                marked = asked.join(root, "node", "left").select("node", "size", "sketch", "features", F.coalesce("root", "node").alias("mark"))
-                found = cut(fine_pairs(marked, _bucket_bits(size * 3, parts // 2), parts, whole))
-                more = cut(verified(distinct_pairs(found), asked))
+                marked = asked.join(root, "node", "left").withColumn("mark", F.coalesce("root", "node"))
+                found = cut(fine_groups(marked, _bucket_bits(size * 3), whole))
+                stars = found.filter("again").select(F.lit(0).alias("bucket"), "pairs")
+                near = cut(distinct_pairs(fine_pairs(found, marked, parts).select("bucket", "pairs").unionByName(stars)))
+                more = cut(verified(near, asked))
                 n = more.count()
                 if n:
                     root = components(root.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
@@ -402,14 +497,19 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """One document of each component, that of the least doc_id, all its columns as they were. Documents with null ids stay.
 
-    Where ids repeat, rows are numbered in the order of ids, and the numbers stand for the ids.
+    A Bloom filter of the ids that go lets all other rows pass where they are; only those it holds back move with their text. Where ids repeat,
+    rows are numbered in the order of ids, and the numbers stand for the ids. An empty table stays one.
     """
     small_batches(spark)
     if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        gone = near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+        return _stay(docs, "doc_id", near_duplicates(docs))
     mark = free_name(docs, "_row")
     rows = cut(docs.orderBy("doc_id", F.xxhash64("text")).withColumn(mark, F.monotonically_increasing_id()))
-    found = near_duplicates(rows.select(F.when(F.col("doc_id").isNotNull(), F.col(mark)).alias("doc_id"), "text"))
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return rows.join(gone, rows[mark] == gone["_gone"], "left_anti").drop(mark)
+    return _stay(rows, mark, near_duplicates(rows.select(F.when(F.col("doc_id").isNotNull(), F.col(mark)).alias("doc_id"), "text"))).drop(mark)
+
+
+def _stay(rows: DataFrame, name: str, found: DataFrame) -> DataFrame:
+    """The rows that are the least document of their component, by the column that names them."""
+    gone = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")))
+    stay, maybe = parted(rows, F.xxhash64(F.col(name).cast("long")), gone.select(F.xxhash64("_gone")))
+    return stay.unionByName(maybe.join(gone, maybe[name] == gone["_gone"], "left_anti"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         at = spark.sparkContext.getCheckpointDir()
         if not at:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             at = "file://" + tempfile.mkdtemp(prefix="panelkiln-")
             spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -41,11 +44,40 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def set_for(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Session settings (`__` for a dot) that hold within the block; what held before holds again afterwards."""
+    settings = {k.replace("__", "."): v for k, v in settings.items()}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def fresh_dir(spark: SparkSession, what: str) -> str:
     """A new folder name below the shared folder."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, at: str) -> DataFrame:
+    """The same rows, written to a table and read from it."""
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def discard(spark: SparkSession, at: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: The register-blocked Bloom filter has at most this many 64-bit words, so its broadcast is bounded whatever the input.
 MOST_WORDS = 1 << 20
 #: At most this many groups are broadcast as hot ones.
@@ -102,6 +134,28 @@ def exact_groups(base: DataFrame, id_col: str, key_col: str, bits_per_row: int =
     return single.unionByName(in_hot).unionByName(in_cold)
 
 
+def parted(rows: DataFrame, key: Column, keys: DataFrame, bits_per_key: int = 32, most_words: int = MOST_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Rows whose 64-bit key is certainly not in `keys` (one column of such), and the rest, which may be.
+
+    By a register-blocked Bloom filter of `keys`, broadcast: of `most_words` words at most, whatever their number, and where it
+    saturates more rows are taken for possible ones. No row moves. keys: give it checkpointed.
+    """
+    words, n = 1, keys.count()
+    while words * 64 < n * bits_per_key and words < most_words:
+        words *= 2
+    named = {x: free_name(rows, x) for x in ("_word", "_bits", "_key")}
+    bit = lambda k, at: F.shiftright(k, at).bitwiseAND(F.lit(63)).cast("int")
+    k = F.col(keys.columns[0])
+    filled = (
+        keys.select(F.pmod(k, F.lit(words)).alias(named["_word"]), F.explode(F.array(bit(k, 32), bit(k, 44))).alias("at"))
+        .groupBy(named["_word"]).agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias(named["_bits"]))
+    )
+    k, bits = F.col(named["_key"]), F.col(named["_bits"])
+    tried = rows.withColumn(named["_key"], key).withColumn(named["_word"], F.pmod(k, F.lit(words))).join(F.broadcast(filled), named["_word"], "left")
+    may = F.coalesce((F.getbit(bits, bit(k, 32)) == 1) & (F.getbit(bits, bit(k, 44)) == 1), F.lit(False))
+    return tried.filter(~may).select(*rows.columns), tried.filter(may).select(*rows.columns)
+
+
 def small_batches(spark: SparkSession) -> SparkSession:
     """Keeps Arrow batches small, as texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
