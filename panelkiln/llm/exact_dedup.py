@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkiln.llm.shared import MOST_HOT, cut, exact_groups, free_name, table
+from panelkiln.llm.shared import MOST_HOT, cut, exact_groups, free_name, parted, table
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -38,21 +38,22 @@ from documents
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """One document of each text, that of the largest id (null ids below all others), all its columns as they were.
 
-    Rows are told apart by id and hash of the text, so an id that several texts or null ids share loses no text. Of rows that repeat both, one stays:
-    they are reduced map-side, and exist in few tables, so the second branch is only there where they do. Pairs of very many rows (at most MOST_HOT, by
-    construction) meet their rows by broadcast.
+    Rows are told apart by id and hash of the text, so an id that several texts or null ids share loses no text; of rows that repeat both, one stays.
+    A Bloom filter of the rows that go or repeat lets all others pass where they are; only those it holds back move with their text. Rows that repeat
+    very often (at most MOST_HOT pairs, by construction) meet their pairs by broadcast. Null texts count as empty; an empty table stays one.
     """
     found = exact_dedup(docs)
     pairs = cut(found.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text")).agg(F.first("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")).filter("not _kept or _n > 1"))
     mark = free_name(docs, "_sha")
     rows = docs.withColumn(mark, F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    hot = F.col("_n") >= max(32, -(-docs.count() // MOST_HOT))
-    same = lambda p: rows["doc_id"].eqNullSafe(p["_id"]) & (rows[mark] == p["_text"])
+    stay, maybe = parted(rows, F.xxhash64(F.col("doc_id").cast("long"), mark), pairs.select(F.xxhash64(F.col("_id").cast("long"), "_text")))
+    hot = F.col("_n") >= max(32, -(-found.count() // MOST_HOT))
+    same = lambda p: maybe["doc_id"].eqNullSafe(p["_id"]) & (maybe[mark] == p["_text"])
     often, rest = F.broadcast(pairs.filter(hot)), pairs.filter(~hot)
-    stay = rows.join(often, same(often), "left_anti").join(rest, same(rest), "left_anti").drop(mark)
+    out = stay.unionByName(maybe.join(often, same(often), "left_anti").join(rest, same(rest), "left_anti")).drop(mark)
     repeated = pairs.filter("_kept")
     if repeated.isEmpty():
-        return stay
+        return out
     often, rest = F.broadcast(repeated.filter(hot)), repeated.filter(~hot)
-    once = rows.join(often, same(often), "left_semi").unionByName(rows.join(often, same(often), "left_anti").join(rest, same(rest), "left_semi"))
-    return stay.unionByName(once.dropDuplicates(["doc_id", mark]).drop(mark))
+    once = maybe.join(often, same(often), "left_semi").unionByName(maybe.join(often, same(often), "left_anti").join(rest, same(rest), "left_semi"))
+    return out.unionByName(once.dropDuplicates(["doc_id", mark]).drop(mark))
