@@ -188,10 +188,10 @@ class _Sketches:
 MEETINGS = "task long, nodes binary, sizes binary, pairs binary, again boolean"
 
 
-def fine_groups(sets: DataFrame, bits: int, whole: int) -> DataFrame:
+def fine_groups(sets: DataFrame, bits: int, parts: int, whole: int) -> DataFrame:
     """Groups of nodes, not all of one component (mark), that share a fine signature, some to a task.
 
-    A row with `again` has a group of more than `whole` pairs of different components: its pairs are those of a star.
+    Rows with `again` have the nodes of groups of more than `whole` pairs of different components, and pairs that are their stars, dealt by a hash of the pair.
     """
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,7 +214,7 @@ def fine_groups(sets: DataFrame, bits: int, whole: int) -> DataFrame:
         bucket, rows = int(pdf["bucket"].iloc[0]), []
         node, mark, first = _groups(pdf)
         if len(first):
-            size, done, some, held = np.diff(np.append(first, len(node))), set(), [], 0
+            size, done, some, held, large, stars = np.diff(np.append(first, len(node))), set(), [], 0, [], []
 
             def close() -> None:
                 nonlocal some, held
@@ -229,14 +229,17 @@ def fine_groups(sets: DataFrame, bits: int, whole: int) -> DataFrame:
                     continue
                 done.add(key)
                 if len(n) ** 2 > 2 * whole and (len(n) ** 2 - (np.unique(m, return_counts=True)[1] ** 2).sum()) // 2 > whole:
-                    star = np.stack([np.full(len(n) - 1, n[0]), n[1:]], 1)[m[1:] != m[0]]
-                    rows.append((-1, n.tobytes(), None, star.tobytes(), True))
+                    large.append(n)
+                    stars.append(np.stack([np.full(len(n) - 1, n[0]), n[1:]], 1)[m[1:] != m[0]])
                     continue
                 some.append(n)
                 held += len(n)
                 if held >= PER_TASK:
                     close()
             close()
+            if large:
+                rows.append((-1, np.unique(np.concatenate(large)).tobytes(), None, None, True))
+                rows += [(-1 - b, None, None, p, True) for b, p in _pair_rows(stars, parts)[["bucket", "pairs"]].itertuples(index=False)]
         give_back()
         return pd.DataFrame(rows, columns=["task", "nodes", "sizes", "pairs", "again"])
 
@@ -464,14 +467,14 @@ def near_duplicates(docs: DataFrame, whole_group: int = WHOLE_GROUP) -> DataFram
             while True:
                 size = asked.agg(F.sum("size")).first()[0] or 0
                 marked = asked.join(root, "node", "left").withColumn("mark", F.coalesce("root", "node"))
-                found = cut(fine_groups(marked, _bucket_bits(size * 3), whole))
-                stars = found.filter("again").select(F.lit(0).alias("bucket"), "pairs")
+                found = cut(fine_groups(marked, _bucket_bits(size * 3), parts, whole))
+                stars = found.filter("again and pairs is not null").select((-1 - F.col("task")).cast("int").alias("bucket"), "pairs")
                 near = cut(distinct_pairs(fine_pairs(found, marked, parts).select("bucket", "pairs").unionByName(stars)))
                 more = cut(verified(near, asked))
                 n = more.count()
                 if n:
                     root = components(root.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
-                left = found.filter("again").select("nodes")
+                left = found.filter("again and nodes is not null").select("nodes")
                 if not left.limit(1).count():
                     break
                 asked = cut(asked.join(left.mapInPandas(_named, "node long").distinct(), "node", "left_semi"))
