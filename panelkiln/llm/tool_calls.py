@@ -23,7 +23,10 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     """What a value breaks of a JSON schema (type, enum, const, required, properties, additionalProperties, items, and bounds of numbers, lengths and patterns), each with its place."""
     out: list[str] = []
     if types := schema.get("type"):
-        if not any(_TYPES[t](value) for t in ([types] if isinstance(types, str) else types)):
+        named = [types] if isinstance(types, str) else types
+        if unknown := [t for t in named if t not in _TYPES]:
+            return [f"{at}: schema has no type {unknown[0]}"]
+        if not any(_TYPES[t](value) for t in named):
             return [f"{at}: not {types}"]
     if "enum" in schema and value not in schema["enum"] or "const" in schema and value != schema["const"]:
         out.append(f"{at}: not an allowed value")
@@ -48,8 +51,12 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     ):
         if key in schema and got is not None and not ok(got, schema[key]):
             out.append(f"{at}: {key} {schema[key]}")
-    if isinstance(value, str) and "pattern" in schema and not re.search(schema["pattern"], value):
-        out.append(f"{at}: pattern")
+    if isinstance(value, str) and "pattern" in schema:
+        try:
+            if not re.search(schema["pattern"], value):
+                out.append(f"{at}: pattern")
+        except re.error:
+            out.append(f"{at}: schema has no valid pattern")
     return out
 
 
@@ -66,6 +73,40 @@ def canonical(value) -> str:
     return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+#: Arguments may be nested so deep.
+DEEPEST = 200
+
+
+def _no_number(text: str):
+    raise ValueError(text)
+
+
+def _finite(text: str) -> float:
+    x = float(text)
+    return x if math.isfinite(x) else _no_number(text)
+
+
+def arguments_of(text: str | None) -> tuple[object, list[str]]:
+    """The value of a call's arguments, or their text as it is and why they aren't usable: no JSON, numbers that JSON can't write, nested beyond DEEPEST levels."""
+    try:
+        value = json.loads(text, parse_constant=_no_number, parse_float=_finite)
+        level, depth = [value], 0
+        while level := [y for x in level if isinstance(x, dict | list) for y in (x.values() if isinstance(x, dict) else x)]:
+            depth += 1
+            if depth >= DEEPEST:
+                return text, ["$: nested too deep"]
+    except RecursionError:
+        return text, ["$: nested too deep"]
+    except (TypeError, ValueError):
+        return text, ["$: no JSON"]
+    return value, []
+
+
+def _whole(text: str) -> str:
+    """Half surrogates, which no UTF-8 text can hold, become U+FFFD."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def depths(parents: DataFrame) -> DataFrame:
     """call_id, depth, root_id, cyclic of each (call_id, parent_id), ids distinct, by pointer doubling.
 
@@ -131,7 +172,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     calls, n_results counts all. Without `every_result` the other contents, and results with null identifiers, are in no row. With it each of them has its own
     row: status more_result with the identifier's least call (by name and arguments), or no_call where there is none, as always for null identifiers
     (n_results 1). So rows grow with calls plus results, never with their product; null identifiers link with nothing. Calls that repeat an identifier are a row each, and take its least parent. Arguments that are null
-    or no JSON, and names without a schema, are invalid; their text stands in the message as it is. Empty tables give no rows.
+    or no JSON, numbers beyond a double's range, nesting beyond DEEPEST levels, and names without a schema, are invalid; their text stands in the message as it is.
+    Half surrogates become U+FFFD. Empty tables give no rows.
     """
     results = cut(results.select("call_id", "content", F.monotonically_increasing_id().alias("_at")))
     first = F.min(F.struct(F.col("content").isNull().alias("none"), "content", "_at")).alias("_f")
@@ -156,14 +198,10 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
                 arguments = None if pd.isna(r.arguments) else r.arguments
                 errors: list[str] = []
                 if r.status != "no_call":
-                    try:
-                        arguments = json.loads(arguments)
-                    except (TypeError, ValueError, RecursionError):
-                        errors = ["$: no JSON"]
-                    else:
-                        errors = violations(arguments, schemas[name]) if name in schemas else ["$: no schema"]
+                    arguments, errors = arguments_of(arguments)
+                    errors = errors or (violations(arguments, schemas[name]) if name in schemas else ["$: no schema"])
                 message = canonical({"call_id": None if pd.isna(r.call_id) else r.call_id, "name": name, "arguments": arguments, "result": result})
-                rows.append((not errors and r.status != "no_call", "; ".join(errors), message))
+                rows.append((not errors and r.status != "no_call", _whole("; ".join(errors)), _whole(message)))
             more = pd.DataFrame(rows, columns=["valid", "errors", "message"])
             out = pd.concat([b[["call_id", "name", "status", "n_results", "depth", "root_id", "cyclic"]].reset_index(drop=True), more], axis=1)
             yield out.assign(depth=out["depth"].astype("Int64"))

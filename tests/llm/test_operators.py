@@ -341,3 +341,28 @@ def test_rare_toxic_words_are_features_among_many_common_ones(spark):
     labels = [(i, int(i % 4 == 0)) for i in range(400)]
     keys, w = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), n_features=7)
     assert set(keys) == set(toxicity.features("scumbag moron")) and len(w) == len(keys) + 1
+
+
+def test_odd_arguments_of_tool_calls_are_errors(spark):
+    deep = "[" * 3000 + "]" * 3000
+    odd = ["1e999", "NaN", deep, "[" * 250 + "]" * 250, '{"a":', None, '{"a": "\\ud800"}', '{"a": 1}']
+    calls = spark.createDataFrame([(f"c{i}", None, "f", a) for i, a in enumerate(odd)] + [("t", None, "typed", "1"), ("p", None, "patterned", '"x"')], "call_id string, parent_id string, name string, arguments string")
+    results = spark.createDataFrame([], "call_id string, content string")
+    got = as_dict(tool_calls.link_tool_calls(calls, results, {"f": {}, "typed": {"type": "odd"}, "patterned": {"pattern": "("}}), "call_id")
+    errors = ["$: no JSON", "$: no JSON", "$: nested too deep", "$: nested too deep", "$: no JSON", "$: no JSON", "", ""]
+    assert [got[f"c{i}"]["errors"] for i in range(len(odd))] == errors
+    assert json.loads(got["c0"]["message"])["arguments"] == "1e999" and json.loads(got["c6"]["message"])["arguments"] == {"a": "\ufffd"}
+    assert got["t"]["errors"] == "$: schema has no type odd" and got["p"]["errors"] == "$: schema has no valid pattern" and not got["t"]["valid"]
+
+
+def test_components_by_stars_are_those_of_one_task(spark):
+    rng = random.Random(8)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000, i) for i in range(900, 1000)]
+    table = spark.createDataFrame(links, "u long, v long").repartition(5)
+    one, many = (sorted(map(tuple, near_dups.components(table, n).select("node", "root").collect())) for n in (1 << 20, 1))
+    root = {x: x for e in links for x in e if e[0] != e[1]}
+    for _ in links:
+        for u, v in links:
+            if u != v:
+                root[u] = root[v] = min(root[u], root[v])
+    assert one == many == sorted(root.items())
