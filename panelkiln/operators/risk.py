@@ -66,9 +66,10 @@ def exponential(r: np.ndarray, span: float = 60) -> np.ndarray:
 
 
 def graphical_lasso(r: np.ndarray, alpha: float = 0.01, rounds: int = 100) -> np.ndarray:
-    """Covariance whose inverse is sparse: block coordinate descent on the columns."""
+    """Covariance whose inverse is sparse: block coordinate descent on the columns. Entries off the diagonal are penalised, variances stay the sample's."""
     s = empirical(r)
-    w, p = s + alpha * np.eye(len(s)), len(s)
+    w, p = 0.95 * s, len(s)
+    np.fill_diagonal(w, np.diag(s))
     b = np.zeros((p, p))
     for _ in range(rounds):
         old = w.copy()

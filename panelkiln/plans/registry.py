@@ -198,6 +198,19 @@ panel_query("amihud", ship, lambda p: factors.amihud(p, scale=True), "amihud", "
 panel_query("traded_value", ship, factors.traded_value, "notional_value", "nullif(close * volume, 0)")
 panel_query("high_low_spread", ship, factors.high_low_spread, "hl_spread")
 panel_query("edge", ship, factors.edge, "edge_spread")
+# Each window's bars side by side: first its means, then both conditions bar by bar.
+ORACLES["edge"] = f"""with {SHIP},
+ t as (select date, ticker, row_number() over {T} as i, ln(open) as o, ln(high) as h, ln(low) as l, ln(close) as c, (ln(high) + ln(low)) / 2 as m from b),
+ q as (select *, lag(h) over {T} as hb, lag(l) over {T} as lb, lag(c) over {T} as cb, lag(m) over {T} as mb from t),
+ r as (select ticker, i, cast(h <> l or l <> cb as double) as traded, cast(o <> h as double) + cast(o <> l as double) as off_open, cast(cb <> hb as double) + cast(cb <> lb as double) as off_close,
+  m - o as a, o - mb as before_a, m - cb as d, cb - mb as before_d, o - cb as n from q where i > 1),
+ w as (select t.ticker, t.i as k, r.* exclude (ticker, i) from t join r on r.ticker = t.ticker and r.i between t.i - 28 and t.i where t.i >= 30),
+ g as (select ticker, k, avg(traded) as part, avg(traded * off_open) as po, avg(traded * off_close) as pc, avg(a) as ma, avg(d) as md, avg(n) as mn from w group by all having sum(traded) >= 2),
+ x as (select ticker, k, -4 / po * (a - ma / part * traded) * before_a - 4 / pc * (d - md / part * traded) * before_d as x1,
+  -4 / po * (a - ma / part * traded) * n - 4 / pc * (n - mn / part * traded) * before_d as x2 from w join g using (ticker, k) where po > 0 and pc > 0),
+ e as (select ticker, k, avg(x1) as e1, avg(x2) as e2, avg(x1 * x1) - avg(x1) * avg(x1) as v1, avg(x2 * x2) - avg(x2) * avg(x2) as v2 from x group by all)
+ select t.date, t.ticker, round(sqrt(abs(case when v1 + v2 > 0 then (v2 * e1 + v1 * e2) / (v1 + v2) else (e1 + e2) / 2 end)), 6) as value
+ from t left join e on e.ticker = t.ticker and e.k = t.i"""
 panel_query("skew", ship, factors.skew, "Skew_30", when_full("ret", 30, f"skewness(ret) over {rolling(30)}"))
 panel_query("max_return", ship, factors.max_return, "Max_30", when_full("ret", 30, f"max(ret) over {rolling(30)}"))
 panel_query("min_return", ship, factors.min_return, "Min_30", when_full("ret", 30, f"min(ret) over {rolling(30)}"))

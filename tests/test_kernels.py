@@ -1,12 +1,13 @@
 """Kernels against closed forms, pandas and invariants."""
 
+import datetime
 import math
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from panelkiln.operators import learn, portfolio, regress, risk, windows
+from panelkiln.operators import factors, learn, portfolio, regress, risk, windows
 from panelkiln.operators.base import Operator, Pipeline
 
 
@@ -159,3 +160,38 @@ def test_windows_with_gaps_in_all_names_keep_their_dates(spark, r):
         x.iloc[10 + k, k] = np.nan
     got = learn.windowed_pca(panel(spark, x), window_size=20).toPandas().pivot(index="date", columns="component", values="score").sort_index()
     assert list(got.index) == list(x.index[19:]) and got.notna().all().all()
+
+
+def test_graphical_lasso_keeps_variances():
+    deviations = np.array([0.005, 0.01, 0.02, 0.03, 0.04])
+    r = np.random.default_rng(5).normal(size=(4000, 5)) * deviations
+    s = np.cov(r, rowvar=False, bias=True)
+    w = risk.graphical_lasso(r, 0.01)
+    assert np.allclose(np.diag(w), np.diag(s)) and np.allclose(w, np.diag(np.diag(s)), atol=1e-6)
+    loose = risk.graphical_lasso(r, 0.0)
+    assert np.allclose(loose, s, atol=1e-8)
+
+
+def test_edge_is_the_estimator_bar_by_bar(spark):
+    rng = np.random.default_rng(9)
+    close = np.exp(np.cumsum(rng.normal(0, 0.02, 40)))
+    open_ = close * np.exp(rng.normal(0, 0.01, 40))
+    high, low = np.maximum(open_, close) * np.exp(abs(rng.normal(0, 0.005, 40))), np.minimum(open_, close) * np.exp(-abs(rng.normal(0, 0.005, 40)))
+    high[7] = open_[7] = low[7] = close[6] = high[6] = close[7] = low[6]
+    rows = [(datetime.date(2024, 1, 1) + datetime.timedelta(i), "a", *map(float, x), "kept") for i, x in enumerate(zip(open_, high, low, close, strict=True))]
+    df = spark.createDataFrame(rows, "date date, ticker string, open double, high double, low double, close double, _edge_mid string")
+    got = factors.edge(df, window_size=10, sign=True).orderBy("date").collect()
+    assert {r["_edge_mid"] for r in got} == {"kept"} and all(r["edge_spread"] is None for r in got[:9])
+    for end in range(10, 41):
+        O, H, L, C = (np.log(x[end - 10 : end]) for x in (open_, high, low, close))
+        M = (H + L) / 2
+        bars = range(1, 10)
+        live = [float(H[t] != L[t] or L[t] != C[t - 1]) for t in bars]
+        p_open = sum(k * (int(O[t] != H[t]) + int(O[t] != L[t])) for k, t in zip(live, bars, strict=True)) / 9
+        p_close = sum(k * (int(C[t - 1] != H[t - 1]) + int(C[t - 1] != L[t - 1])) for k, t in zip(live, bars, strict=True)) / 9
+        centred = lambda x: [v - sum(x) / sum(live) * k for v, k in zip(x, live, strict=True)]
+        u, v, n = centred([M[t] - O[t] for t in bars]), centred([M[t] - C[t - 1] for t in bars]), centred([O[t] - C[t - 1] for t in bars])
+        first = [-4 / p_open * a * (O[t] - M[t - 1]) - 4 / p_close * b * (C[t - 1] - M[t - 1]) for a, b, t in zip(u, v, bars, strict=True)]
+        second = [-4 / p_open * a * (O[t] - C[t - 1]) - 4 / p_close * b * (C[t - 1] - M[t - 1]) for a, b, t in zip(u, n, bars, strict=True)]
+        squared = np.average([np.mean(first), np.mean(second)], weights=[np.var(second), np.var(first)])
+        assert np.isclose(got[end - 1]["edge_spread"], np.sign(squared) * np.sqrt(abs(squared)), atol=1e-7)
