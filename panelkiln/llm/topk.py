@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelkiln.llm.shared import cut, table
+from panelkiln.llm.shared import cut, set_for, table
 
 #: Cells along each component; their bounds follow from the block's least and largest values.
 CELLS = 64
@@ -116,9 +116,9 @@ def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str =
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A row here is a pair of blocks: few to a batch.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    return exact_top_k(table(spark, sf_dir, "embeddings"))
+    # A row here is a pair of blocks: few to a batch, while this query runs.
+    with set_for(spark, spark__sql__execution__arrow__maxRecordsPerBatch="4"):
+        return cut(exact_top_k(table(spark, sf_dir, "embeddings")))
 
 
 OP5_SQL = """
