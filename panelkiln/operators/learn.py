@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkiln.functions.frames import DATE, TICKER
+from panelkiln.functions.frames import DATE, TICKER, by_ticker
 
 
 def _wide(pdf: pd.DataFrame, value: str) -> pd.DataFrame:
@@ -171,11 +171,14 @@ def forecast(df: DataFrame, target_col: str, feature_cols: list[str], model: str
 
 
 def scores(df: DataFrame, actual_col: str, predicted_col: str = "prediction") -> DataFrame:
-    """mse, rmse, mae, r2 and the share of changes whose sign is right, per ticker."""
+    """mse, rmse, mae, r2 and the share of rows where both change in the same direction from the row before, per ticker, of rows with both values."""
     e = F.col(actual_col) - F.col(predicted_col)
+    df = df.dropna(subset=[actual_col, predicted_col])
+    change = lambda c: F.signum(F.col(c) - F.lag(c).over(by_ticker()))
+    df = df.withColumn("_same", (change(actual_col) == change(predicted_col)).cast("double"))
     return df.groupBy(TICKER).agg(
         F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.sum(e * e) / F.nullif(F.var_pop(actual_col) * F.count(e), F.lit(0.0))).alias("r2"),
-        F.avg((F.signum(actual_col) == F.signum(predicted_col)).cast("double")).alias("chg_accuracy"),
+        F.avg("_same").alias("chg_accuracy"),
     )
 
 
