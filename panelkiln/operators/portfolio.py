@@ -318,6 +318,13 @@ def expected_returns(r: np.ndarray, method: str = "historical_mean", window: int
     return mu
 
 
+def round_corner(w: np.ndarray, threshold: float = 1e-4) -> np.ndarray:
+    """Weights that are all but in one name become exactly that name; others stay."""
+    corner = np.zeros_like(w)
+    corner[np.argmax(w)] = 1
+    return corner if (np.abs(w - corner) <= threshold).all() else w
+
+
 OPTIMIZERS = {
     "equal_weight": lambda r, s, c: np.full(r.shape[1], 1 / r.shape[1]),
     "inverse_variance": lambda r, s, c: (1 / np.diag(c)) / (1 / np.diag(c)).sum(),

@@ -188,6 +188,18 @@ def signal_chain(df: DataFrame, factor_cols: list[str], axis: str = "ts", norm_m
     return score_signal(df, "score", mapping, **rest)
 
 
+def dual_signals(df: DataFrame, factor_cols: list[str], summary_stat: str = "mean", norm_method: str = "zscore", mapping: str = "norm", window_type: str = "expanding", window_size: int = 360, winsorize: float | None = 3, combine_method: str = "mean", **rest) -> DataFrame:
+    """Each factor normalised along its ticker and across its date, where it has both, summed up by `summary_stat`; these combined and mapped to a signal."""
+    params = {"winsorize": winsorize} if norm_method in ("zscore", "z-score", "robust_zscore", "mod_zscore") else {}
+    for c in factor_cols:
+        for axis in ("ts", "cs"):
+            df = windows.normalize(df, norm_method, input_col=c, output_col=f"_{axis}_{c}", axis=axis, window_type=window_type, window_size=window_size, min_periods=3, **params)
+        df = combine(df, [f"_ts_{c}", f"_cs_{c}"], summary_stat, f"_n_{c}")
+        df = df.withColumn(f"_n_{c}", F.when(F.col(f"_ts_{c}").isNotNull() & F.col(f"_cs_{c}").isNotNull(), F.col(f"_n_{c}"))).drop(f"_ts_{c}", f"_cs_{c}")
+    df = combine(df, [f"_n_{c}" for c in factor_cols], combine_method, "score").drop(*[f"_n_{c}" for c in factor_cols])
+    return score_signal(df, "score", mapping, **rest)
+
+
 def target(df: DataFrame, price_col: str = "close", method: str = "log", lead: int = 1, output_col: str = "target") -> DataFrame:
     """The change over the next `lead` rows."""
     df = scalars.returns(df, {"simple": "pct", "log": "log", "diff": "diff"}[method], input_col=price_col, output_col="_c", lags=lead)
