@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkiln.operators import factors, metrics, portfolio, regress, scalars, signals, sorts, windows
-from panelkiln.operators import learn
+from panelkiln.operators import attribution, calendar, learn, selection
+from panelkiln.plans import strategy
 from panelkiln.sources import panels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -303,6 +304,65 @@ for _model in ("ols", "ridge", "lasso", "elastic_net"):
     full_query(f"forecast_{_model}", lambda s, d, m=_model: learn.forecast(ship_market(s, d), "ret", ["market", "volume"], model=m, window_size=120, every=60).select("date", "ticker", F.round("prediction", 6).alias("prediction")))
 
 
+# Selection, attribution, strategies
+FEATURES = ["market", "volume", "close", "open"]
+for _method in ("lars", "lasso", "ridge", "elastic_net", "lasso_lars_ic", "lasso_cv", "random_forest", "xgboost"):
+
+    def _importance(s: SparkSession, d: str, method: str = _method) -> DataFrame:
+        p = ship_market(s, d).withColumn("y", F.lead("ret", 1).over(signals.by_ticker()))
+        more = {"n_estimators": 10, "max_depth": 3} if method in selection.TREES else {"alpha": 1e-4} if method in ("lasso", "elastic_net") else {}
+        return selection.importance(p, "y", FEATURES, method, **more).select("feature", F.round("importance", 6).alias("importance"))
+
+    full_query(f"importance_{_method}", _importance)
+
+
+def lagged_fit(s: SparkSession, d: str) -> DataFrame:
+    """Least squares of the next return on this return and the volume: scores of the fit."""
+    p, y, x = selection.prepare(ship(s, d), "ret", ["volume"], 1, 0)
+    found = selection.fit_scores(selection.predict(p, y, x), y, "prediction", len(x))
+    return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
+
+
+full_query("lagged_fit", lagged_fit,
+           f"with {SHIP}, {RETS}, a as (select *, lead(ret, 1) over {T} as y from p), v as (select * from a where y is not null and ret is not null and volume is not null), "
+           "c as (select count(*) as n, avg(y) as my, avg(ret) as mr, avg(volume) as mv, covar_pop(ret, ret) as rr, covar_pop(volume, volume) as vv, covar_pop(ret, volume) as rv, covar_pop(ret, y) as ry, covar_pop(volume, y) as vy, var_pop(y) as yy from v), "
+           "k as (select *, (ry * vv - vy * rv) / (rr * vv - rv * rv) as b1, (vy * rr - ry * rv) / (rr * vv - rv * rv) as b2 from c), "
+           f"f as (select v.date, v.ticker, v.y, my + b1 * (ret - mr) + b2 * (volume - mv) as p, n, yy from v, k), g as (select *, y - lag(y) over {T} as dy, p - lag(p) over {T} as dp from f), "
+           "s as (select avg((y - p) ** 2) as mse, avg(abs(y - p)) as mae, max(n) as n, max(yy) as yy, avg(case when sign(dy) = sign(dp) then 1.0::double when dy is not null then 0 end) as chg from g) "
+           "select round(mse, 6) as mse, round(sqrt(mse), 6) as rmse, round(mae, 6) as mae, round(1 - mse / yy, 6) as r2, round(1 - mse / yy * (n - 1) / (n - 3), 6) as adj_r2, round(chg, 6) as chg_accuracy from s")
+full_query("supervised_pca", lambda s, d: selection.supervised_pca(ship_market(s, d), "ret", FEATURES, n_feat=3, n_components=2).select("date", "ticker", F.round("prediction", 6).alias("prediction")))
+full_query("windowed_predict", lambda s, d: selection.windowed_predict(ship_market(s, d), "ret", FEATURES, window_size=120, every=20).select("date", "ticker", F.round("prediction", 6).alias("prediction")))
+full_query("spearman", lambda s, d: selection.spearman(ship(s, d), "ret", ["volume", "open"]).select("feature", "n", F.round("spearman_rank", 6).alias("spearman_rank")),
+           f"with {SHIP}, {RETS} " + " union all ".join(f"select '{c}' as feature, count(*) as n, round(corr(a, b), 6) as spearman_rank from (select rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0::double as a, rank() over (order by ret) + (count(*) over (partition by ret) - 1) / 2.0::double as b from p where {c} is not null and ret is not null)" for c in ("volume", "open")))
+full_query("kendall", lambda s, d: selection.kendall(panels.events_daily(s, d), "close", "volume").select("feature", "n", F.round("kendall_tau", 6).alias("kendall_tau")),
+           f"with {BARS}, x as (select row_number() over () as i, volume as x, close as y from b where volume is not null and close is not null), "
+           "s as (select sum(sign(p.x - q.x) * sign(p.y - q.y)) as s, sum(abs(sign(p.x - q.x))) as a, sum(abs(sign(p.y - q.y))) as b from x p join x q on p.i < q.i) "
+           "select 'volume' as feature, (select count(*) from x) as n, round(s / nullif(sqrt(a * b), 0), 6) as kendall_tau from s")
+ORACLES["kendall_tau"] = (f"with {BARS}, x as (select ticker, row_number() over () as i, close as x, volume as y from b where volume is not null and close is not null) "
+                          "select ticker, sum(sign(p.x - q.x) * sign(p.y - q.y)) / nullif(sqrt(sum(abs(sign(p.x - q.x))) * sum(abs(sign(p.y - q.y)))), 0) as tau from x p join x q using (ticker) where p.i < q.i group by ticker")
+full_query("fama_macbeth_each", lambda s, d: attribution.fama_macbeth_each(ship(s, d), "ret", ["volume", "open"], min_obs=3).select("factor", F.round("beta", 8).alias("beta"), F.round("std_error", 8).alias("std_error"), F.round("t_stat", 6).alias("t_stat")),
+           f"with {SHIP}, {RETS}, l as (select *, lag(volume) over {T} as fv, lag(open) over {T} as fo from p), g as (select min(date) as first from (select date from l where ret is not null and fv is not null and fo is not null group by date having count(*) > 3)), "
+           "d as (select date, sum(fv * ret) / sum(case when ret is not null then fv * fv end) as volume, sum(fo * ret) / sum(case when ret is not null then fo * fo end) as open from l, g where date >= first group by date) "
+           + " union all ".join(f"select '{c}' as factor, round(avg({c}), 8) as beta, round(stddev_samp({c}) / sqrt(count({c})), 8) as std_error, round(avg({c}) / (stddev_samp({c}) / sqrt(count({c}))), 6) as t_stat from d" for c in ("volume", "open")))
+full_query("pooled_each", lambda s, d: attribution.pooled_each(ship(s, d), "ret", ["volume", "open"]).select("factor", F.round("beta", 8).alias("beta"), F.round("r2", 8).alias("r2")),
+           f"with {SHIP}, {RETS}, l as (select *, lag(volume) over {T} as fv, lag(open) over {T} as fo from p) select 'volume' as factor, round(regr_slope(ret, fv), 8) as beta, round(regr_r2(ret, fv), 8) as r2 from l union all select 'open', round(regr_slope(ret, fo), 8), round(regr_r2(ret, fo), 8) from l")
+full_query("factor_covariance", lambda s, d: attribution.covariance_table(ship(s, d), ["open", "close"]).select("a", "b", F.round("covariance", 4).alias("covariance")),
+           f"with {SHIP} " + " union all ".join(f"select '{a}' as a, '{b}' as b, round(covar_samp({a}, {b}), 4) as covariance from b" for a in ("open", "close") for b in ("open", "close")))
+panel_query("beta_returns", ship_market, attribution.attribute, "beta_ret", "covar_samp(ret, market) over (partition by ticker) / nullif(var_samp(case when ret is not null then market end) over (partition by ticker), 0) * case when ret is not null then market end", of="m")
+panel_query("alpha_returns", ship_market, attribution.attribute, "alpha_ret", "ret - covar_samp(ret, market) over (partition by ticker) / nullif(var_samp(case when ret is not null then market end) over (partition by ticker), 0) * market", of="m")
+panel_query("period_change", ship, lambda p: attribution.period_change(p.withColumn("ret", F.expm1("ret")), 5), "pct_chg", f"case when row_number() over {T} > 5 then exp(sum(ret) over {rolling(5)}) - 1 end")
+panel_query("raw_signal", ship, lambda p: signals.raw_signal(p, "ret"), "signal", "ret")
+panel_query("dual_signals", ship, lambda p: signals.dual_signals(p, ["ret", "volume"]), "signal")
+full_query("exposures", lambda s, d: attribution.exposures(ship_market(s, d), "ret", ["market"]).select("ticker", "factor", F.round("beta", 6).alias("beta")),
+           f"with {SHIP}, {RETS}, {MARK} select ticker, 'market' as factor, round(regr_slope(ret, market), 6) as beta from m group by ticker")
+for _method in ("ols", "ml"):
+    full_query(f"mimicking_returns_{_method}", lambda s, d, m=_method: attribution.mimicking_returns(ship_market(s, d), "ret", ["market", "volume"], m).select("date", "factor", F.round("ret", 6).alias("ret")))
+full_query("orthogonalize_rolling", lambda s, d: attribution.orthogonalize_windows(ship(s, d), ["close", "open"], "rolling", 60).select("date", "ticker", F.round("close_orth", 6).alias("close_orth"), F.round("open_orth", 6).alias("open_orth")))
+full_query("turbulence", lambda s, d: calendar.turbulence(ship(s, d)).select("date", *[F.round(c, 6).alias(c) for c in ("turbulence", "magnitude", "correlation")]))
+full_query("window_components", lambda s, d: calendar.window_components(ship(s, d)).select("date", "component", "ticker", F.round("loading", 6).alias("loading"), F.round("explained", 6).alias("explained")))
+full_query("strategy_summary", lambda s, d: (f := strategy.summarize(strategy.run(ship(s, d), strategy.Strategy("inverse volatility", weights={"method": "inverse_volatility"}, rebalance="month_start")))).select(*[F.round(c, 6).alias(c) for c in f.columns]))
+
+
 def flagship_long_short(spark: SparkSession, d: str) -> DataFrame:
     """Bars, log returns, expanding z-scores, cross-section ranks, yesterday's rank as signal, daily equal-weighted long/short return, yearly Sharpe ratio."""
     p = windows.zscore(scalars.log_return(panels.events_daily(spark, d)), "ret", "z", min_periods=3)
