@@ -497,6 +497,26 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+OP4_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from words
+), shingles as (
+  select doc_id, len(s) as n, unnest(s) as shingle from sets
+), links as (
+  select a.doc_id as x, b.doc_id as y from shingles a join shingles b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reached as (
+  select doc_id, doc_id as other from documents
+  union
+  select reached.doc_id, y from reached join links on other = x
+)
+select doc_id, any_value(len(s)) as n_shingles, min(other) as component_id from sets join reached using (doc_id) group by doc_id
+"""
+
+
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """One document of each component, that of the least doc_id, all its columns as they were. Documents with null ids stay.
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from panelkiln.llm.bpe import op10_bpe_round_trip
 from panelkiln.llm.exact_dedup import OP3_SQL, op3_exact_dedup
-from panelkiln.llm.near_dups import op4_near_duplicates
+from panelkiln.llm.near_dups import OP4_SQL, op4_near_duplicates
 from panelkiln.llm.packing import op8_packing
 from panelkiln.llm.secrets import op1_secret_scan
 from panelkiln.llm.toxicity import op2_toxicity
 from panelkiln.llm.tool_calls import op7_tool_calls
 from panelkiln.llm.topk import OP5_SQL, op5_exact_top_k
 from panelkiln.llm.url_rules import op9_url_rules
-from panelkiln.llm.warc import op6_warc
+from panelkiln.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_url_rules": op9_url_rules,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op5_exact_top_k": OP5_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_near_duplicates": OP4_SQL, "op5_exact_top_k": OP5_SQL, "op6_warc": OP6_SQL}

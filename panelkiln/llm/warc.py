@@ -206,5 +206,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"), fresh_dir(spark, "warc"))
 
 
-#: DuckDB has no SHA-1; so the digest can't be held against SQL there.
-OP6_SQL = None
+#: The digest in base32: five hexadecimal digits are four characters.
+OP6_SQL = """
+with p as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as h, max(page_id) over (partition by coalesce(html, '')) as keeper from pages
+)
+select page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(h, (5 * (i // 4) + 1)::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31)::int + 1, 1)), '') as payload_digest,
+       if(page_id = keeper, 'response', 'revisit') as record_type, if(page_id = keeper, null, keeper) as refers_to
+from p
+"""

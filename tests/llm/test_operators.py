@@ -144,6 +144,18 @@ def test_near_duplicates(docs, texts, none, whole):
     assert near_dups.near_duplicates(none).count() == 0
 
 
+def test_sql_of_near_duplicates_and_archives(spark, docs):
+    con = duckdb.connect()
+    kept = docs.filter("length(coalesce(text, '')) < 9000")
+    con.register("documents", kept.select("doc_id", "text").toPandas().astype({"text": object}))
+    got = sorted(map(tuple, near_dups.near_duplicates(kept).collect()))
+    assert got == sorted(con.sql(near_dups.OP4_SQL).fetchall())
+    pages = spark.createDataFrame([(1, "u", "x"), (2, "u", "x"), (3, "u", None), (4, "u", ""), (5, "u", "é" * 700)], "page_id long, url string, html string")
+    con.register("pages", pages.toPandas().astype({"html": object}))
+    got = warc.warc_round_trip(pages, fresh_dir(spark, "t")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(warc.OP6_SQL).fetchall())
+
+
 def test_near_duplicates_of_chains(spark):
     """Texts that drift: neighbours are similar, ends aren't."""
     base = [f"u{i}" for i in range(60)]
