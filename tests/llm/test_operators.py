@@ -196,6 +196,33 @@ def test_exact_top_k(spark):
     assert topk.exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_exact_top_k_of_ties_and_wide_ranges(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(400, 6)) * rng.choice([1.0, 1e3, 1e6], size=(400, 1))
+    v[100:250] = v[100]
+    v[260] = 0
+    rows = [(i, x.tolist(), -1, "clash") for i, x in enumerate(v)] + [(500, [], 0, ""), (501, [], 0, ""), (520, [float("inf")] * 6, 0, "")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, uid int, q string").repartition(5)
+    got = sorted(map(tuple, topk.exact_top_k(df).collect()))
+    ints = np.floor(64 * v).astype(int).astype(object)
+    want = [(500, 1, 501, 0)]
+    for q in range(0, 400, 20):
+        best = sorted((-int(ints[q] @ ints[c]), c) for c in range(400) if c != q)[:20]
+        want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(3)
+    for scale in (10, 10**4, 10**9):
+        c, q = rng.integers(-scale, scale, (300, 12)), rng.integers(-scale, scale, (20, 12))
+        low, width, cells = topk.quantise(c)
+        near, slack = topk.bounds(q, low, width, cells)
+        true = (q.astype(object) @ c.T.astype(object)).astype("f8")
+        assert (np.abs(true - near) <= slack[:, None]).all()
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/", "x"), (2, None, "x"), (3, "u", None), (4, "u", ""), (5, "u y", "é" * 5000), (5, "u", "x"), (None, "n", "x"), (9, "http://q", "<p>\r\n\r\n</p>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumnsRenamed({})
