@@ -347,21 +347,29 @@ def traded_value(df: DataFrame, price_col: str = "close", volume_col: str = "vol
     return finish(df.withColumn(output_col, F.nullif(F.col(price_col) * F.col(volume_col), F.lit(0.0))), output_col, smooth=smooth)
 
 
-def high_low_spread(df: DataFrame, high_col: str = "high", low_col: str = "low", close_col: str = "close", output_col: str = "hl_spread", smooth: int | None = None) -> DataFrame:
-    """Corwin and Schultz's spread from two days' highs and lows, these moved by the overnight gap; no less than 0."""
+def high_low_spread(df: DataFrame, high_col: str = "high", low_col: str = "low", close_col: str = "close", output_col: str = "hl_spread", smooth: int | None = None, move_range: bool = False) -> DataFrame:
+    """Corwin and Schultz's spread from two days' highs and lows; no less than 0.
+
+    Each day's range is moved by its overnight gap, so it needs a close before it. The two days' joint range is as quoted; with move_range
+    it is of the day as moved and of the day before as quoted, as is then that day's own range.
+    """
     w = by_ticker()
-    h, lo, c = F.col(high_col), F.col(low_col), F.lag(close_col).over(w)
-    gap = F.when(c < lo, lo - c).when(c > h, h - c).otherwise(F.lit(0.0))
-    df = df.withColumns({"_h": h - gap, "_l": lo - gap})
-    h1, l1 = F.lag(high_col).over(w), F.lag(low_col).over(w)
-    sq = lambda x: x * x
-    beta = sq(F.log(F.col("_h") / F.col("_l"))) + sq(F.log(h1 / l1))
-    gamma = sq(F.log(F.greatest(F.col("_h"), h1) / F.least(F.col("_l"), l1)))
+    high, low, before = F.col(high_col), F.col(low_col), F.lag(close_col).over(w)
+    gap = F.when(before < low, low - before).when(before > high, high - before).when(before.isNotNull(), F.lit(0.0))
+    top, bottom, own, first = _free(df, "_top", "_bottom", "_own", "_alpha")
+    square = lambda up, down: F.pow(F.log(up / F.nullif(down, F.lit(0.0))), F.lit(2.0))
+    df = df.withColumns({top: high - gap, bottom: low - gap}).withColumn(own, square(F.col(top), F.col(bottom)))
+    if move_range:
+        high, low, past = F.col(top), F.col(bottom), square(F.lag(high_col).over(w), F.lag(low_col).over(w))
+    else:
+        past = F.lag(own).over(w)
+    last_high, last_low = F.lag(high_col).over(w), F.lag(low_col).over(w)
+    days = F.col(own) + past
+    joint = F.when(last_high.isNotNull() & last_low.isNotNull(), square(F.greatest(high, last_high), F.least(low, last_low)))
     k = 3 - 2 * math.sqrt(2)
-    df = df.withColumn("_a", clean((math.sqrt(2) - 1) * F.sqrt(beta) / k - F.sqrt(gamma / k)))
-    a = F.greatest(F.col("_a"), F.lit(0.0))
-    spread = F.when(F.col("_a").isNotNull(), 2 * (F.exp(a) - 1) / (1 + F.exp(a)))
-    return finish(df.withColumn(output_col, spread).drop("_h", "_l", "_a"), output_col, smooth=smooth)
+    df = df.withColumn(first, clean((math.sqrt(2) - 1) * F.sqrt(days) / k - F.sqrt(joint / k)))
+    spread = F.when(F.col(first).isNotNull(), 2 * F.tanh(F.greatest(F.col(first), F.lit(0.0)) / 2))
+    return finish(df.withColumn(output_col, spread).drop(top, bottom, own, first), output_col, smooth=smooth)
 
 
 def _free(df: DataFrame, *names: str) -> list[str]:

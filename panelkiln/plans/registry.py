@@ -142,6 +142,7 @@ panel_query("ewm_std", ship, lambda p: windows.std(p, window_type="ewm", window_
 # Regressions
 panel_query("beta", ship_market, lambda p: regress.betas(p, "ret", "market", window_size=30), "beta", "v", f"c as (select *, case when count(*) over {rolling(30)} >= 30 then regr_slope(ret, market) over {rolling(30)} end as v from m where ret is not null), z as (select m.date, m.ticker, c.v from m left join c using (date, ticker))", "z")
 panel_query("residual", ship_market, lambda p: regress.residuals(p, "ret", "market", window_size=30), "residual", "v", f"c as (select *, case when count(*) over {rolling(30)} >= 30 then ret - (regr_intercept(ret, market) over {rolling(30)} + regr_slope(ret, market) over {rolling(30)} * market) end as v from m where ret is not null), z as (select m.date, m.ticker, c.v from m left join c using (date, ticker))", "z")
+IDIO = f"c as (select *, case when count(*) over {rolling(30)} >= 30 then ret - regr_slope(ret, market) over {rolling(30)} * ret end as v from m where ret is not null), z as (select m.date, m.ticker, c.v from m left join c using (date, ticker))"
 panel_query("idiosyncratic_returns", ship_market, lambda p: regress.idiosyncratic_returns(p, own_return=False), "idio_ret", "v", f"c as (select *, case when count(*) over {rolling(30)} >= 30 then ret - regr_slope(ret, market) over {rolling(30)} * market end as v from m where ret is not null), z as (select m.date, m.ticker, c.v from m left join c using (date, ticker))", "z")
 panel_query("multi_ols", ship_market, lambda p: regress.rolling_multi_ols(p, "ret", ["market", "volume"], "b", window_size=60), "b_resid")
 full_query("ticker_ols", lambda s, d: regress.ticker_ols(ship_market(s, d), "ret", ["market"]).select("ticker", "term", F.round("coef", 6).alias("coef"), F.round("r2", 6).alias("r2"), "n"),
@@ -179,7 +180,7 @@ panel_query("garman_klass", ship, factors.garman_klass, "GarmanKlass_30", f"sqrt
 panel_query("parkinson", ship, factors.parkinson, "Parkinson_30", f"sqrt(avg(pow(ln(high / low), 2)) over {rolling(30)}) / (4 * ln(2)) * {A!r}::double")
 RS = f"avg(ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open)) over {rolling(30)}"
 panel_query("rogers_satchell", ship, factors.rogers_satchell, "RogersSatchell_30", f"sqrt(case when {RS} >= 0 then {RS} end) * {A!r}::double")
-panel_query("ivol", ship_market, factors.ivol, "IVol_30")
+panel_query("ivol", ship_market, factors.ivol, "IVol_30", when_full("v", 2, f"stddev_samp(v) over {rolling(30)} * {A!r}::double", rolling(30)), IDIO, "z")
 
 # Carry, value, size, low risk, reversal
 panel_query("carry", ship, lambda p: factors.carry(p, "close", fwd_col="open"), "carry", f"-(open / close - 1) * {A!r}::double", "q as (select * from p where close <> 0 and open <> 0)", "q")
@@ -191,13 +192,17 @@ panel_query("low_beta", ship_market, factors.low_beta, "Beta_30", "-v", f"c as (
 panel_query("max_dd", ship, lambda p: factors.max_dd(p, ret_type="log"), "MaxDD_30", f"min(d) over {rolling(30)}", f"v as (select *, case when ret is not null then exp(sum(ret) over {E}) end as v from p), w as (select *, v / max(v) over {rolling(30)} - 1 as d from v)", "w")
 panel_query("mw_deviation", ship, factors.mw_deviation, "MWDeviation_30", when_full("close", 30, f"avg(close) over {rolling(30)} - close"))
 panel_query("linear_deviation", ship, factors.linear_deviation, "LinearDeviation_30", when_full("close", 30, f"regr_intercept(close, i) over {rolling(30)} + regr_slope(close, i) over {rolling(30)} * i - close"), f"i as (select *, cast(row_number() over {T} as double) as i from p)", "i")
-panel_query("idiosyncratic_deviation", ship_market, factors.idiosyncratic_deviation, "IdiosyncraticDeviation_30")
+panel_query("idiosyncratic_deviation", ship_market, factors.idiosyncratic_deviation, "IdiosyncraticDeviation_30", "-v", f"u as (select date, ticker, sum(ret) over {T} as y, sum(market) over {T} as x, ret, market from m), c as (select *, case when count(*) over {rolling(30)} >= 30 then y - (regr_intercept(y, x) over {rolling(30)} + regr_slope(y, x) over {rolling(30)} * x) end as v from u where ret is not null and market is not null), z as (select m.date, m.ticker, c.v from m left join c using (date, ticker))", "z")
 panel_query("rsi_detrended", ship, factors.rsi_detrended, "RSIDetrended_30")
 
 # Liquidity and skew
 panel_query("amihud", ship, lambda p: factors.amihud(p, scale=True), "amihud", "abs(ret) / nullif(close * volume, 0) * 1e6")
 panel_query("traded_value", ship, factors.traded_value, "notional_value", "nullif(close * volume, 0)")
-panel_query("high_low_spread", ship, factors.high_low_spread, "hl_spread")
+HL = f"""g as (select *, lag(close) over {T} as c0, case when c0 < low then low - c0 when c0 > high then high - c0 when c0 is not null then 0 end as gap from p),
+ h as (select *, (high - gap) / nullif(low - gap, 0) as own, lag(high) over {T} as h1, lag(low) over {T} as l1 from g),
+ i as (select *, case when own > 0 then pow(ln(own), 2) end as b1, case when h1 is not null then pow(ln(greatest(high, h1) / least(low, l1)), 2) end as g2 from h),
+ j as (select *, (sqrt(2 * (b1 + lag(b1) over {T})) - sqrt(b1 + lag(b1) over {T})) / (3 - 2 * sqrt(2)) - sqrt(g2 / (3 - 2 * sqrt(2))) as a from i)"""
+panel_query("high_low_spread", ship, factors.high_low_spread, "hl_spread", "case when a is not null then 2 * (exp(greatest(a, 0)) - 1) / (exp(greatest(a, 0)) + 1) end", HL, "j")
 panel_query("edge", ship, factors.edge, "edge_spread")
 # Each window's bars side by side: first its means, then both conditions bar by bar.
 ORACLES["edge"] = f"""with {SHIP},
@@ -217,7 +222,7 @@ panel_query("max_return", ship, factors.max_return, "Max_30", when_full("ret", 3
 panel_query("min_return", ship, factors.min_return, "Min_30", when_full("ret", 30, f"min(ret) over {rolling(30)}"))
 TOP = f"l as (select *, list_sort(list(ret) over {rolling(30)}) as l, count(ret) over {rolling(30)} as c from p)"
 panel_query("max_min", ship, lambda p: factors.max_min(p, n_top=3), "MaxMin_30", "case when c >= 30 then list_avg(list_reverse_sort(list_filter(l, lambda x: x is not null))[1:3]) - abs(list_avg(list_filter(l, lambda x: x is not null)[1:3])) end", TOP, "l")
-panel_query("iskew", ship_market, factors.iskew, "ISkew_30")
+panel_query("iskew", ship_market, factors.iskew, "ISkew_30", when_full("v", 30, f"skewness(v) over {rolling(30)}"), IDIO, "z")
 
 # Signals
 Z = "z as (select *, (ret - avg(ret) over (partition by date)) / nullif(stddev_samp(ret) over (partition by date), 0) as z, count(ret) over (partition by date) as cn from p), y as (select *, case when cn >= 3 then z end as s from z)"
@@ -261,8 +266,14 @@ panel_query("commission", ship, lambda p: portfolio.commission(portfolio.weights
 full_query("portfolio_returns", lambda s, d: portfolio.portfolio_returns(portfolio.inverse_risk(ship(s, d)), rate=0.001).select("date", *[F.round(c, 6).alias(c) for c in ("gross", "cost", "net")]),
            f"with {SHIP}, {RETS}, i as (select *, {when_full('ret', 30, f'1 / nullif(stddev_samp(ret) over {rolling(30)}, 0)')} as i from p), w as (select *, i / sum(i) over {D} as w from i), h as (select *, lag(w) over {T} as h from w), "
            f"c as (select *, abs(coalesce(h, 0) - coalesce(lag(h) over {T}, 0)) * 0.001::double as c from h) select date, round(sum(h * ret), 6) as gross, round(sum(c), 6) as cost, round(coalesce(sum(h * ret), 0) - sum(c), 6) as net from c group by date")
+#: Each window's variance by name, where it has half of the window's returns and they vary; a missing return counts as none.
+WINDOWS = f"""with {SHIP}, {RETS}, d as (select date, row_number() over (order by date) - 1 as n from (select distinct date from p)),
+ v as (select e.date, ticker, sum(coalesce(ret, 0) * coalesce(ret, 0)) - sum(coalesce(ret, 0)) * sum(coalesce(ret, 0)) / 60 as v
+ from d e join d on d.n between e.n - 59 and e.n join p on p.date = d.date where e.n >= 59 group by e.date, ticker having count(ret) >= 30)"""
+_CLOSED = {"equal_weight": "1", "inverse_variance": "1 / v", "inverse_volatility": "1 / sqrt(v)"}
 for _method in portfolio.OPTIMIZERS:
-    full_query(f"optimize_{_method}", lambda s, d, m=_method: portfolio.windowed_weights(ship(s, d), method=m, window_size=60, every=1).select("date", "ticker", F.round("weight", 6).alias("weight")))
+    full_query(f"optimize_{_method}", lambda s, d, m=_method: portfolio.windowed_weights(ship(s, d), method=m, window_size=60, every=1).select("date", "ticker", F.round("weight", 6).alias("weight")),
+               f"{WINDOWS} select date, ticker, round({_CLOSED[_method]} / sum({_CLOSED[_method]}) over (partition by date), 6) as weight from v where v > 1e-18" if _method in _CLOSED else None)
 for _estimator in ("ledoit_wolf", "oas", "denoised_covariance", "exponential_covariance", "graphical_lasso"):
     full_query(f"min_vol_{_estimator}", lambda s, d, e=_estimator: portfolio.windowed_weights(ship(s, d), method="min_vol", window_size=60, every=1, estimator=e).select("date", "ticker", F.round("weight", 6).alias("weight")))
 full_query("backtest", lambda s, d: portfolio.backtest((p := ship(s, d)), portfolio.windowed_weights(p, method="risk_parity", window_size=60, every=1)).select("date", F.round("value", 6).alias("value"), F.round("cost", 6).alias("cost")))
@@ -278,19 +289,33 @@ full_query("performance_table", lambda s, d: metrics.performance_table(ship(s, d
            "round(sum(case when ret > 0 then ret end) / -sum(case when ret < 0 then ret end), 6) as omega_ratio, round(avg(case when ret > 0 then ret end) / -avg(case when ret < 0 then ret end), 6) as profit_factor, "
            "round(min(dd), 6) as max_drawdown, round(max(q), 6) as value_at_risk, round(avg(case when ret < q then ret end), 6) as expected_shortfall, round(skewness(ret), 6) as skewness, round(kurtosis(ret), 6) as kurtosis, "
            "round(sum(case when ret > 0 then 1 else 0 end)::double / count(*), 6) as winning_percentage, round(regr_slope(ret, f), 6) as beta from dd group by ticker")
-full_query("monthly_returns", lambda s, d: metrics.monthly_returns(scalars.pct_change(panels.ship_region(s, d))).select("ticker", "year", *[F.round(f"m{k:02d}", 6).alias(f"m{k:02d}") for k in range(1, 13)]))
+full_query("monthly_returns", lambda s, d: metrics.monthly_returns(scalars.pct_change(panels.ship_region(s, d))).select("ticker", "year", *[F.round(f"m{k:02d}", 6).alias(f"m{k:02d}") for k in range(1, 13)]),
+           f"with {SHIP}, r as (select *, close / lag(close) over {T} as up from b) select ticker, year(date) as year, " + ", ".join(f"round(exp(sum(ln(up)) filter (month(date) = {k})) - 1, 6) as m{k:02d}" for k in range(1, 13)) + " from r group by ticker, year(date)")
 
 # Sorts and tests
 full_query("portfolio_sort", lambda s, d: sorts.portfolio_sort(ship(s, d), {"volume": 2}).select("date", "volume_q", F.round("ret", 6).alias("ret"), "n"),
            f"with {SHIP}, {RETS}, k as (select *, rank() over (partition by date order by volume) + (count(volume) over (partition by date, volume) - 1) / 2.0::double as rk, count(volume) over {D} as cn from p), "
            f"q as (select *, lag(case when cn >= 2 then ceil(round(rk / cn * 2, 9)) end) over {T} as volume_q from k) select date, volume_q, round(avg(ret), 6) as ret, count(*) as n from q where ret is not null and volume_q is not null group by date, volume_q")
-full_query("conditional_sort", lambda s, d: sorts.portfolio_sort(ship(s, d), {"volume": 2, "close": 2}, conditional=True).select("date", "volume_q", "close_q", F.round("ret", 6).alias("ret"), "n"))
+full_query("conditional_sort", lambda s, d: sorts.portfolio_sort(ship(s, d), {"volume": 2, "close": 2}, conditional=True).select("date", "volume_q", "close_q", F.round("ret", 6).alias("ret"), "n"),
+           f"with {SHIP}, {RETS}, j as (select *, ceil(round((rank() over (partition by date order by volume) + (count(*) over (partition by date, volume) - 1) / 2.0::double) / count(*) over {D} * 2, 9)) as vq from p), "
+           f"k as (select *, ceil(round((rank() over (partition by date, vq order by close) + (count(*) over (partition by date, vq, close) - 1) / 2.0::double) / count(*) over (partition by date, vq) * 2, 9)) as cq from j), "
+           f"q as (select *, lag(vq) over {T} as volume_q, lag(cq) over {T} as close_q from k) select date, volume_q, close_q, round(avg(ret), 6) as ret, count(*) as n from q where ret is not null and volume_q is not null group by all")
 full_query("information_coefficient", lambda s, d: sorts.information_coefficient(ship(s, d), "volume").select("date", F.round("ic", 6).alias("ic"), "n"),
            f"with {SHIP}, {RETS}, l as (select *, lag(volume) over {T} as f from p), s as (select * from l where f is not null and ret is not null), "
            "k as (select date, rank() over (partition by date order by f) + (count(*) over (partition by date, f) - 1) / 2.0::double as a, rank() over (partition by date order by ret) + (count(*) over (partition by date, ret) - 1) / 2.0::double as b from s) "
            "select date, round(case when count(*) >= 3 and stddev_pop(a) > 0 and stddev_pop(b) > 0 then corr(a, b) end, 6) as ic, count(*) as n from k group by date")
-full_query("contingency", lambda s, d: sorts.contingency(windows.quantize(windows.quantize(ship(s, d), "ret", "qa", 3, axis="cs"), "volume", "qb", 3, axis="cs"), "qa", "qb").select(*[F.round(c, 6).alias(c) for c in ("n", "chi2", "cramers_v", "tschuprow_t", "pearson_c", "mutual_information")]))
-full_query("fama_macbeth", lambda s, d: sorts.fama_macbeth(windows.zscore(windows.zscore(ship(s, d), "volume", "zv", axis="cs", min_periods=3), "close", "zc", axis="cs", min_periods=3), "ret", ["zv", "zc"]).select("factor", F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"), F.round("t", 4).alias("t"), "n"))
+full_query("contingency", lambda s, d: sorts.contingency(windows.quantize(windows.quantize(ship(s, d), "ret", "qa", 3, axis="cs"), "volume", "qb", 3, axis="cs"), "qa", "qb").select(*[F.round(c, 6).alias(c) for c in ("n", "chi2", "cramers_v", "tschuprow_t", "pearson_c", "mutual_information")]),
+           f"with {SHIP}, {RETS}, {RANK}, l as (select *, case when cn >= 2 then ceil(round(rk / cn * 3, 9)) end as qa, rank() over (partition by date order by volume) + (count(*) over (partition by date, volume) - 1) / 2.0::double as vr, count(*) over {D} as vn from k), "
+           f"q as (select qa, ceil(round(vr / vn * 3, 9)) as qb from l where qa is not null and vn >= 2), cells as (select qa, qb, count(*)::double as o from q group by all), "
+           "e as (select *, sum(o) over (partition by qa) * sum(o) over (partition by qb) / sum(o) over () as x, sum(o) over () as n from cells), "
+           "t as (select max(n) as n, sum(o * o / x) - max(n) as chi2, count(distinct qa) - 1 as r, count(distinct qb) - 1 as c, sum(o / n * ln(o / x)) as mi from e) "
+           "select n, round(chi2, 6) as chi2, round(sqrt(chi2 / n / least(r, c)), 6) as cramers_v, round(sqrt(chi2 / n / sqrt(r * c)), 6) as tschuprow_t, round(sqrt(chi2 / (chi2 + n)), 6) as pearson_c, round(mi, 6) as mutual_information from t")
+full_query("fama_macbeth", lambda s, d: sorts.fama_macbeth(windows.zscore(windows.zscore(ship(s, d), "volume", "zv", axis="cs", min_periods=3), "close", "zc", axis="cs", min_periods=3), "ret", ["zv", "zc"]).select("factor", F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"), F.round("t", 4).alias("t"), "n"),
+           f"with {SHIP}, {RETS}, s as (select *, " + ", ".join(f"case when count({x}) over {D} >= 3 then ({x} - avg({x}) over {D}) / nullif(stddev_samp({x}) over {D}, 0) end as z_{x}" for x in ("volume", "close")) + " from p), "
+           f"l as (select date, ret, lag(z_volume) over {T} as a, lag(z_close) over {T} as c from s), k as (select date, count(*) as n, sum(a * a) as aa, sum(c * c) as cc, sum(a * c) as ac, sum(a * ret) as ay, sum(c * ret) as cy "
+           "from l where ret is not null and a is not null and c is not null group by date having count(*) >= 3), "
+           "d as (select unnest(['zv', 'zc']) as factor, unnest([(cc * ay - ac * cy) / (aa * cc - ac * ac), (aa * cy - ac * ay) / (aa * cc - ac * ac)]) as v from k) "
+           "select factor, round(avg(v), 6) as mean, round(stddev_samp(v) / sqrt(count(*)), 6) as se, round(avg(v) / (stddev_samp(v) / sqrt(count(*))), 4) as t, count(*) as n from d group by factor")
 full_query("pooled_regression", lambda s, d: sorts.pooled_regression(ship(s, d), "ret", ["volume"]).select("factor", F.round("coef", 8).alias("coef")),
            f"with {SHIP}, {RETS}, l as (select *, lag(volume) over {T} as f from p) select 'const' as factor, round(regr_intercept(ret, f), 8) as coef from l union all select 'volume', round(regr_slope(ret, f), 8) from l")
 full_query("orthogonalize", lambda s, d: sorts.orthogonalize(ship(s, d), ["close", "volume"]).select("date", "ticker", F.round("close_orth", 6).alias("close_orth"), F.round("volume_orth", 6).alias("volume_orth")))

@@ -9,7 +9,7 @@ from panelkiln.plans import registry
 
 SF = "/root/testdata/sf0.001"
 #: A part of the queries, one or more of each kind; all of them are compared by __spark_entry__'s driver.
-NAMES = ["vwap", "log_return", "cumulative_return", "rolling_median", "atr", "rolling_skew", "zscore", "ts_rank", "cs_quantize", "ewm_mean", "beta", "rsi", "max_dd", "max_min", "amihud", "edge", "rank_signal", "signal_returns", "liquidity_filter", "performance_table", "portfolio_sort", "information_coefficient", "flagship_long_short"]
+NAMES = ["vwap", "ivol", "high_low_spread", "conditional_sort", "contingency", "fama_macbeth", "monthly_returns", "optimize_inverse_variance", "log_return", "cumulative_return", "rolling_median", "atr", "rolling_skew", "zscore", "ts_rank", "cs_quantize", "ewm_mean", "beta", "rsi", "max_dd", "max_min", "amihud", "edge", "rank_signal", "signal_returns", "liquidity_filter", "performance_table", "portfolio_sort", "information_coefficient", "flagship_long_short"]
 
 
 @pytest.fixture(scope="module")
