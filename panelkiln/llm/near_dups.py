@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkiln.llm.partenum import fine_signatures, least_distance, node_of, shared_at_least, shingles_of, signatures, sketch
-from panelkiln.llm.shared import MOST_HOT, cut, discard, exact_groups, free_name, fresh_dir, give_back, parted, small_batches, stored, table
+from panelkiln.llm.shared import MOST_HOT, cut, discard, exact_groups, free_name, fresh_dir, give_back, parted, set_for, small_batches, stored, table
 
 #: Similarity in percent.
 PERCENT = 75
@@ -402,11 +402,17 @@ def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     return out
 
 
+def _by_node(sets: DataFrame) -> DataFrame:
+    """The same rows in a checkpoint that keeps how the plan dealt them; an adaptive plan doesn't say."""
+    with set_for(sets.sparkSession, spark__sql__adaptive__enabled="false"):
+        return cut(sets)
+
+
 def needed_sets(text: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, size, sketch and features of each of `nodes`, from the text of the least document that has it; texts don't move.
 
     A Bloom filter of those documents' ids, of FILTER_WORDS words whatever their number, goes to all tasks; what else it lets pass falls in
-    the exact join on nodes.
+    the exact join on nodes. The table is dealt by node and known to be, so joins on node leave it where it is.
     """
     word, bit = f"cast(pmod(xxhash64(doc_id), {FILTER_WORDS}) as int)", "cast(pmod(xxhash64(doc_id, 5), 64) as int)"
     words = nodes.groupBy(F.expr(word).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("b"))
@@ -422,7 +428,7 @@ def needed_sets(text: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["node", "size", "sketch", "features"])
 
     made = text.select("text", F.expr(word).alias("w"), F.expr(bit).alias("bit")).mapInPandas(run, "node long, size long, sketch binary, features binary")
-    return cut(made.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    return _by_node(made.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
 
 def near_duplicates(docs: DataFrame, whole_group: int = WHOLE_GROUP) -> DataFrame:
@@ -477,7 +483,7 @@ def near_duplicates(docs: DataFrame, whole_group: int = WHOLE_GROUP) -> DataFram
                 left = found.filter("again and nodes is not null").select("nodes")
                 if not left.limit(1).count():
                     break
-                asked = cut(asked.join(left.mapInPandas(_named, "node long").distinct(), "node", "left_semi"))
+                asked = _by_node(asked.join(left.mapInPandas(_named, "node long").distinct(), "node", "left_semi"))
                 if not n:
                     whole = 1 << 40
             linked = root

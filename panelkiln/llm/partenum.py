@@ -104,20 +104,26 @@ _SUBSETS = np.array(list(combinations(range(INNER), INNER - MAY_DIFFER)))
 
 
 def fine_signatures(s: np.ndarray, percent: int = 75) -> np.ndarray:
-    """Signatures of subsets of partitions: fewer strangers share one, and two similar sets still do.
+    """Signatures of subsets of partitions: fewer strangers share one, and two similar sets, neither empty, still do.
 
-    Of k // 3 + 1 first-level partitions one has at most 2 of the k differences, so of its 5 inner partitions 3 agree: each subset of 3
-    is a signature.
+    Each subset of 3 of the 5 inner partitions of a first-level one is a signature. A first-level partition with d of the k differences has at least 5 - d
+    inner ones that agree, so at least 3 - d common signatures; with n first-level ones that makes 3 n - k. So in any order of signatures that
+    both follow, the sets still share one where each leaves out its last 3 n - k - 1. Those are the ones of fewest features: all sets of a family would meet in
+    the signatures of empty partitions, the more the larger the table.
     """
     out, own = [], band_of(len(s))
     for family in range(max(0, own - 1), own + 1):
-        outer = plan(family, percent) // (MAY_DIFFER + 1) + 1
-        sig, _ = _projections(s, family, outer * INNER, 29)
+        k = plan(family, percent)
+        outer = k // (MAY_DIFFER + 1) + 1
+        outer += (outer + 2) // 6
+        sig, count = _projections(s, family, outer * INNER, 29)
         some = sig.reshape(outer, INNER)[:, _SUBSETS]
         h = np.full(some.shape[:2], np.uint64(1), "u8")
         for j in range(some.shape[2]):
             h = mix(h * np.uint64(0x9E3779B97F4A7C15) + some[:, :, j])
-        out.append(mix(h + np.arange(len(_SUBSETS), dtype="u8")).ravel())
+        h = mix(h + np.arange(len(_SUBSETS), dtype="u8")).ravel()
+        features = count.reshape(outer, INNER)[:, _SUBSETS].sum(2).ravel()
+        out.append(h[np.lexsort((h, -features))[: len(h) - (outer * (MAY_DIFFER + 1) - k - 1)]])
     return np.concatenate(out)
 
 

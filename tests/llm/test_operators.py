@@ -16,7 +16,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from panelkiln.llm import bpe, exact_dedup, near_dups, packing, partenum, secrets, tool_calls, topk, toxicity, url_rules, warc
-from panelkiln.llm.shared import fresh_dir
+from panelkiln.llm.shared import fresh_dir, set_for
 
 SF = "/root/testdata/sf0.001"
 WORDS = [f"w{i}" for i in range(400)]
@@ -179,6 +179,40 @@ def test_similar_sets_share_signatures():
         assert partenum.least_distance(partenum.sketch(s), partenum.sketch(t)) <= len(s) + len(t) - 2 * both
 
 
+def test_fine_signatures_of_strangers_and_of_similar_sets():
+    """Strangers don't meet in empty partitions; sets at the largest distance meet however the differences fall."""
+    rng = np.random.default_rng(1)
+    each = [partenum.fine_signatures(np.unique(rng.integers(0, 2**63, 300).astype("u8"))) for _ in range(300)]
+    _, n = np.unique(np.concatenate(each), return_counts=True)
+    assert (n * (n - 1) // 2).sum() < 30
+    for size in [*range(1, 60), 100, 250, 700]:
+        s = np.unique(rng.integers(0, 2**63, size).astype("u8"))
+        lost = size - -(-75 * size // 100)
+        for family in range(max(0, partenum.band_of(size) - 1), partenum.band_of(size) + 1):
+            for n in {partenum.plan(family, 75) // 3 + 1, (o := partenum.plan(family, 75) // 3 + 1) + (o + 2) // 6}:
+                seed = partenum.mix(np.array([family * 7919 + 29], "u8"))[0]
+                inner = (partenum.mix(s ^ seed) % np.uint64(n * 5)).astype(int)
+                for most in (1, 2, 3, 5):  # differences of a first-level partition, each in an inner one of its own
+                    order = np.lexsort((rng.random(size), inner))
+                    first = order[np.append(True, np.diff(inner[order]) != 0)]
+                    rank = np.array([(inner[first[:i]] // 5 == inner[x] // 5).sum() for i, x in enumerate(first)])
+                    gone = np.concatenate([first[rank < most], rng.permutation(np.setdiff1d(np.arange(size), first[rank < most]))])[:lost]
+                    t = np.delete(s, gone)
+                    assert len(np.intersect1d(partenum.fine_signatures(s), partenum.fine_signatures(t)))
+
+
+def test_needed_sets_stay_where_they_are(spark):
+    rng = random.Random(5)
+    text = spark.createDataFrame([(i, prose(rng, 30)) for i in range(40)], "doc_id long, text string")
+    nodes = spark.createDataFrame([(partenum.node_of(partenum.shingles_of([r["text"]])[0]), r["doc_id"]) for r in text.collect() if r["doc_id"] % 2], "node long, doc_id long")
+    sets = near_dups.needed_sets(text, nodes)
+    assert sorted(r["node"] for r in sets.collect()) == sorted(r["node"] for r in nodes.collect())
+    with set_for(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        joined = sets.join(nodes, "node", "left")
+        assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert joined.filter("doc_id is not null").count() == 20
+
+
 def test_exact_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=8).astype("f4").tolist()) for i in range(300)]
